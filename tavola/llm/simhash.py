@@ -154,5 +154,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return rows.join(of, rows["fp"] == of["_fp"]).select("doc_id", "fp", "component_id")
 
 
+def distinct_documents(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document of the smallest doc_id.
+
+    Of repeated rows of that document one stays.
+    """
+    found = near_duplicates(docs, words, radius)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id"])
+
+
 def fingerprint_hex(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
