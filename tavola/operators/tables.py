@@ -112,7 +112,7 @@ def stable_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataF
 
 def write_json_array(rows: DataFrame, path: str, limit: int = 1_000_000) -> None:
     """One indented JSON array, for exports of bounded size; larger tables are refused, use write.json()."""
-    got = rows.limit(limit + 1).toJSON().collect()
+    got = [r[0] for r in rows.limit(limit + 1).select(F.to_json(F.struct(*rows.columns))).collect()]
     if len(got) > limit:
         raise ValueError(f"more than {limit} rows")
     _write_text(rows.sparkSession, path, json.dumps([json.loads(x) for x in got], indent=4, ensure_ascii=False))
