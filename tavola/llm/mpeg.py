@@ -159,24 +159,23 @@ def _read_tag(data: bytes, audio: Audio) -> int:
 def decode(data: bytes) -> Audio:
     """Read a stored form back, skipping bytes that belong to no frame.
 
-    A frame counts if its header is valid and another valid header, or the end, follows it.  Frames with a wrong
-    checksum are counted in ``bad_crc``; their data stay.  Broken input gives what can be read, never an error.
+    A frame counts if its header is valid and its checksum is right, or another valid header or the end follows it.
+    Frames with a wrong checksum are counted in ``bad_crc``; their data stay.  Broken input gives what can be read, never an error.
     """
     audio, end = Audio(), len(data)
     at, parts = _read_tag(data, audio), []
     while at + 4 <= end:
         head = parse_header(data[at : at + 4])
         stop = at + head.length if head else 0
-        if head is None or stop > end or stop + 4 <= end and parse_header(data[stop : stop + 4]) is None:
+        begin = at + head.data_at if head else 0
+        checked = head is not None and head.protected and crc16(data[at + 2 : at + 4] + data[begin - head.side : begin]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if head is None or stop > end or not checked and stop + 4 <= end and parse_header(data[stop : stop + 4]) is None:
             found = data.find(b"\xff", at + 1)
             found = end if found < 0 else found
             audio.skipped += found - at
             at = found
             continue
-        begin = at + head.data_at
-        side = data[begin - head.side : begin]
-        if head.protected and crc16(data[at + 2 : at + 4] + side) != int.from_bytes(data[at + 4 : at + 6], "big"):
-            audio.bad_crc += 1
+        audio.bad_crc += head.protected and not checked
         if not audio.frames and audio.table is None and data[begin : begin + 4] in (b"Xing", b"Info"):
             audio.table = (int.from_bytes(data[begin + 8 : begin + 12], "big"), int.from_bytes(data[begin + 12 : begin + 16], "big"), data[begin + 16 : begin + 116])
         else:

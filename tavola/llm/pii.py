@@ -32,7 +32,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 EXTRA_PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
-    "name": r"(?<![A-Za-z])[A-Z][a-z]++\x20[A-Z][a-z]++(?![A-Za-z])",
+    "name": r"(?<![A-Za-z])(?!(?:Mr|Mrs|Ms|Dr|Prof|Dear|Contact|Signed|Name)\b)[A-Z][a-z]++\x20[A-Z][a-z]++(?![A-Za-z])",
 }
 #: Shape labelers.
 SHAPES = {"secret": r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]{20,})$", "name": r"^[A-Z][a-z]{2,}\x20[A-Z][a-z]{2,}$"}
@@ -40,7 +40,7 @@ SHAPES = {"secret": r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[0-9])(?=.*[a-z])(?=.
 CONTEXT_CHARS = 32
 CONTEXTS = {
     "secret": r"(?i)(?:token|secret|passwo?r?d|passwd|api[_-]?key|access[_-]?key|bearer|credential)[\"']?\s*(?:[=:]|is)?\s*[\"']?$",
-    "name": r"(?i)(?:\b(?:mr|mrs|ms|dr|prof)\.?|\bname\s*(?:is|:)|\bdear|\bcontact|\bsigned(?:\s+by)?)\s*$",
+    "name": r"(?i)(?:\b(?:mr|mrs|ms|dr|prof)\.?|\bname(?:\s+is)?|\bdear|\bcontact|\bsigned(?:\s+by)?)\s*:?\s*$",
 }
 # Prefixes of issued keys, and common given names.
 KEY_PREFIXES = ("sk-", "pk-", "ghp_", "gho_", "AKIA", "ASIA", "xoxb-", "xoxp-", "eyJ", "AIza", "glpat-")
@@ -64,18 +64,16 @@ def _located(text: str, found: str, pattern: str) -> Column:
     The pieces between matches and the matches, end to end, are the text, so places are running sums of lengths.
     """
     pieces = F.split(F.col(text), pattern, -1)
-    lengths = F.zip_with(F.col(found), F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), lambda f, p: F.struct(F.length(p).alias("gap"), F.length(f).alias("own"), f.alias("value")))
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,value:string>>))")
-    summed = F.aggregate(
+    lengths = F.zip_with(F.col(found), F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))), lambda f, p: F.struct(F.length(p).alias("gap"), F.length(f).alias("own")))
+    # The sums gather in a string: adding to an array would copy all its elements for every match.
+    starts = F.aggregate(
         lengths,
-        empty,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["own"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("s"), (a["at"] + x["gap"] + x["own"]).alias("e"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["own"]).alias("at"), F.concat(a["out"], F.lit(","), (a["at"] + x["gap"]).cast("string")).alias("out")),
+        lambda a: F.split(F.substring(a["out"], 2, 2**31 - 1), ","),
     )
-    return F.when(F.size(found) > 0, summed).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)"))
+    spans = F.zip_with(F.col(found), starts, lambda f, s: F.struct(s.cast("int").alias("s"), (s.cast("int") + F.length(f)).alias("e"), f.alias("value")))
+    return F.when(F.size(found) > 0, spans).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)"))
 
 
 def _digits(value: Column) -> Column:

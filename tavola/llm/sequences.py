@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 from .packing import CAPACITY, END_ID
-from .tokens import WordTokenizer, default_tokenizer_path
+from .tokens import default_tokenizer_path, shared_tokenizer
 
 #: Ids that a task gathers before it packs them: 16 MB.
 WINDOW_IDS = 4 << 20
@@ -86,7 +86,7 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
     path = tokenizer_path or default_tokenizer_path()
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end, width = WordTokenizer(path), END_ID.to_bytes(4, "little"), 4 * capacity
+        tokenizer, end, width = shared_tokenizer(path), END_ID.to_bytes(4, "little"), 4 * capacity
         ramp = np.arange(capacity, dtype="<u4")
         made, base = 0, TaskContext.get().partitionId() << 40
         window: list[tuple[int, int, int, bytes]] = []

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -17,24 +19,53 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _TAIL = ".,;:!?"
 
 
+def _lowered(text: str) -> str | None:
+    """The text in lower case if that changes no id, else None.
+
+    It must be normalised before and after, its lower case be made letter by letter, and it must not hold a special
+    token, which is told by case.
+    """
+    if "<|" in text:
+        return None
+    low = text.lower()
+    if text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+        return low
+    return None
+
+
 def default_tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257 and so on; the blank, which parts words, stays."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != 32}
+
+
 class WordTokenizer:
     """Encodes texts as ``tokenizers`` does with ``add_special_tokens=False``.
 
     ``cache_entries`` bounds the memory of one worker (about 200 bytes an entry); a full cache is emptied.
     """
 
-    def __init__(self, path: str | None = None, cache_entries: int = 500_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path or default_tokenizer_path())
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        path = path or default_tokenizer_path()
+        self._tokenizer = Tokenizer.from_file(path)
+        # The same model for lower-case words of letters, which need no normaliser and no pattern.
+        self._plain = Tokenizer.from_file(path)
+        self._plain.normalizer, self._plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self._bytes = _byte_letters()
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._limit = cache_entries
         self._cache: dict[str, bytes] = {}
 
@@ -42,38 +73,41 @@ class WordTokenizer:
         """The ids of a text by the tokenizer alone."""
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        cache, letters, others, composed = self._cache, {}, [], []
+    def _learn(self, missing: list[str], lowered: bool) -> None:
+        cache, letters, others, composed = self._cache, [], [], []
         for w in missing:
-            body, tail = (w[:-1], w[-1]) if w[-1] in _TAIL and len(w) > 1 else (w, "")
-            if body.isalpha() and (body.isascii() or body.lower().isalpha()):
-                low = body.lower() if body.isascii() else body
-                if low not in cache:
-                    letters[low] = None
-                if w != low:
-                    composed.append((w, low, tail))
-                if tail and tail not in cache:
-                    cache[tail] = self.whole(tail)
+            if not lowered:
+                others.append(w)
+            elif w.isalpha():
+                letters.append(w)
+            elif w[-1] in _TAIL and w[:-1].isalpha():
+                composed.append(w)
             else:
                 others.append(w)
+        if composed:
+            letters = list({*letters, *{w[:-1] for w in composed}.difference(cache)})
         if letters:
-            self._learn_letters(list(letters))
-        for w, low, tail in composed:
-            cache[w] = cache[low] + cache[tail] if tail else cache[low]
+            self._learn_letters(letters)
+        for w in composed:
+            if w[-1] not in cache:
+                cache[w[-1]] = self.whole(w[-1])
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
         if others:
             for w, e in zip(others, self._tokenizer.encode_batch(others, add_special_tokens=False)):
                 cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def _learn_letters(self, words: list[str]) -> None:
-        """Words of letters only are one pre-token each, so many fit in one call."""
-        e = self._tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of = np.array(e.word_ids, np.int64)
-        ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) if len(of) else of
+        """Lower-case words of letters are one pre-token each, so many fit in one call; a word's last id ends it."""
+        joined = " ".join(words)
+        if not joined.isascii():
+            joined = joined.encode().decode("latin-1").translate(self._bytes)
+        ids = np.array(self._plain.encode(joined, add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(words):
             for w in words:
                 self._cache[w] = self.whole(w)
             return
-        data, at = np.array(e.ids, "<u4").tobytes(), 0
+        data, at = ids.tobytes(), 0
         for w, end in zip(words, (4 * ends).tolist()):
             self._cache[w] = data[at:end]
             at = end
@@ -82,12 +116,19 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of a text, end to end."""
         if _ODD_SPACE.search(text):
             return self.whole(text)
-        words, cache = text.split(), self._cache
+        low = _lowered(text)
+        words, cache = (text if low is None else low).split(), self._cache
         distinct = set(words)
         missing = distinct.difference(cache)
         if missing:
             if len(cache) + 2 * len(missing) > self._limit:
                 cache.clear()
                 missing = distinct
-            self._learn(list(missing))
+            self._learn(list(missing), low is not None)
         return b"".join(map(cache.__getitem__, words))
+
+
+@lru_cache(2)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker, so that they share its cache."""
+    return WordTokenizer(path)

@@ -7,6 +7,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,12 @@ class WordHashes:
         return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache(1)
+def shared_hashes() -> WordHashes:
+    """One cache for all tasks of a Python worker."""
+    return WordHashes()
+
+
 def features(words: WordHashes, text: str | None, bits: int = BITS) -> np.ndarray:
     """Hashed unigrams, stems, bigrams and skip-grams (one word left out) of a whole text; repeats included."""
     found = _WORD.findall((text or "").lower())
@@ -125,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     stream = stream.repartition(1).sortWithinPartitions("epoch", "_order", "doc_id", "text").select("text", "y")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, seen = WordHashes(), Ftrl(1 << bits), [0, 0]
+        words, model, seen = shared_hashes(), Ftrl(1 << bits), [0, 0]
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 model.learn(np.unique(features(words, text, bits)), y)
@@ -134,7 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
         got = (at.astype(np.uint32), model.weights(at).astype(np.float32), model.bias, seen)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["model"])
 
-    at, weight, bias, seen = pickle.loads(map_batches(stream, fit, "model binary").first()[0])
+    got = map_batches(stream, fit, "model binary").first()
+    if got is None:  # no labelled document is there
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, bits)
+    at, weight, bias, seen = pickle.loads(got[0])
     if min(seen):
         bias += math.log(counts[1] / counts[0]) - math.log(seen[1] / seen[0])
     return Model(at.astype(np.int64), weight, bias, bits)
@@ -150,7 +160,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = shared.value, WordHashes()
+        m, words = shared.value, shared_hashes()
         dense = np.zeros(1 << m.bits, np.float32)
         dense[m.at] = m.weight
         for batch in batches:
