@@ -280,6 +280,12 @@ def _queries() -> dict[str, str]:
         "detect_city": f"WITH a AS (SELECT c_custkey, 'calle ' || c_nationkey || ', ' || ({_PLACES})[c_custkey % {len(CITIES) + 2} + 1] || ', x' AS address FROM customer) SELECT c_custkey, CASE {_CITY} ELSE 'unknown' END AS city FROM a",
         "garbage_flag": GARBAGE,
         "section_header": rf"WITH {LINES} SELECT doc_id, at, regexp_full_match(trim(line), '(?i)({'|'.join(SECTION_TITLES)})') OR (upper(trim(line)) = trim(line) AND lower(trim(line)) <> trim(line) AND len(trim(line)) < 30 AND NOT regexp_matches(trim(line), '\d{{1,2}}[.,]\d{{1,2}}')) AS header FROM lines",
+        "item_text": "SELECT p_partkey AS item_id, trim(p_name || ' ' || CASE WHEN p_partkey % 4 <> 0 THEN lower(p_type) ELSE '' END) AS text FROM part",
+        "normalize_price": f"WITH {PRICES} SELECT p_partkey, CAST(w || '.' || r AS DOUBLE) AS us, CAST(w || '.' || r AS DOUBLE) AS eu FROM parts",
+        "address_line": "SELECT c_custkey, c_name || CASE WHEN c_nationkey % 2 = 0 THEN ', ' || c_mktsegment ELSE '' END || CASE WHEN c_nationkey % 3 = 0 THEN ', ' || c_nationkey ELSE '' END AS address FROM customer",
+        "stop_words": f"WITH {VENUES} SELECT id, array_to_string(list_filter({words('base')}, lambda w: NOT list_contains({STOPS}, w)), ' ') AS rest FROM cleaned",
+        "first_match": f"WITH {MATCHED}, k AS (SELECT CAST(s_suppkey % 20 AS VARCHAR) AS menu_id, venue_id, CAST(s_suppkey AS VARCHAR) AS place_id, match_id FROM matched JOIN supplier ON venue_id % 50 = s_suppkey) SELECT menu_id, arg_min(venue_id, match_id) AS venue_id, arg_min(place_id, match_id) AS place_id FROM k GROUP BY menu_id",
+        "save_matches": f"WITH {MATCHED} SELECT venue_id, max(match_id) AS match_id FROM matched GROUP BY venue_id",
         "indel_ratio": f"WITH {NAME_PAIRS} SELECT a, b, round({ratio('a', 'b')}, 6) AS ratio FROM pairs",
         "indel_ratio_native": f"WITH {NAME_PAIRS} SELECT a, b, round({ratio('a', 'b')}, 6) AS ratio FROM pairs",
         "token_sort": f"WITH {NAME_PAIRS}, {RATIOS} SELECT a, b, round(token_sort, 6) AS ratio FROM ratios",

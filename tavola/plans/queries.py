@@ -156,6 +156,20 @@ def split_chunks(spark, d):
     return tables.chunks(t.customers(spark, d), "id", 3)
 
 
+@query
+def first_match(spark, d):
+    matches = t.matched(spark, d).withColumn("place_id", (F.col("venue_id") % 50).cast("string"))
+    places = t.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("https://m.x/?cid="), F.col("s_suppkey") % 20).alias("maps_url"))
+    return kpi.first_match_by_menu(matches, places).select("menu_id", "venue_id", "place_id")
+
+
+@query
+def save_matches(spark, d):
+    old = t.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("venue_id")).agg(F.max("o_orderkey").alias("match_id"))
+    new = t.matched(spark, d).groupBy("venue_id").agg(F.max("match_id").alias("match_id"))
+    return tables.save_matches(old, new)
+
+
 @query
 def flatten_json(spark, d):
     return venues.menu_item_rows(t.venue_json(spark, d))
@@ -229,6 +243,28 @@ def section_header(spark, d):
     return t.lines(spark, d).select("doc_id", "at", text.is_section_header(F.col("line")).alias("header"))
 
 
+@query
+def item_text(spark, d):
+    i = t.items(spark, d).select("item_id", "name", F.when(F.col("item_id") % 4 != 0, F.col("description")).alias("description"))
+    return i.select("item_id", text.item_text(F.col("name"), F.col("description")).alias("text"))
+
+
+@query
+def normalize_price(spark, d):
+    return t.price_texts(spark, d).select("p_partkey", prices.normalize_price(F.col("us")).alias("us"), prices.normalize_price(F.regexp_replace("eu", r"\.", "")).alias("eu"))
+
+
+@query
+def address_line(spark, d):
+    c = t.read(spark, d, "customer")
+    return c.select("c_custkey", venues.address_line(F.col("c_name"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).otherwise(""), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_nationkey").cast("string"))).alias("address"))
+
+
+@query
+def stop_words(spark, d):
+    return t.venues(spark, d).select("id", text.drop_stop_words(text.base_name(F.col("name"))).alias("rest"))
+
+
 # --- similarity and places ----------------------------------------------------------------------------------
 
 
