@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
-from .tokens import WordTokenizer, default_tokenizer_path
+from .tokens import default_tokenizer_path, shared_tokenizer
 
 CAPACITY = 2048
 END_ID = 0
@@ -42,11 +42,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
     schema = pa.schema(columns)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end, width = WordTokenizer(path), END_ID.to_bytes(4, "little"), 4 * capacity
+        tokenizer, end, width = shared_tokenizer(path), END_ID.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = tokenizer.encode(text or "") + end
+            texts = (text or "" for text in batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_all(texts)):
+                data = ids + end
                 for k, at in enumerate(range(0, len(data), width)):
                     part = data[at : at + width]
                     for to, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)):

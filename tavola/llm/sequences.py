@@ -111,8 +111,9 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
             window.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = tokenizer.encode(text or "") + end
+            texts = (text or "" for text in batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_all(texts)):
+                data = ids + end
                 for k, at in enumerate(range(0, len(data), width)):
                     window.append((doc_id, k, at // 4, data[at : at + width]))
                     held += len(window[-1][3]) // 4

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Characters that str.split() takes for white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_TAIL = ".,;:!?"
+#: A run of these after letters is a pre-token of its own.
+_TAIL = string.punctuation
+#: Characters of texts whose words are looked up together.
+GROUP_CHARS = 1 << 14
 
 
 def _lowered(text: str) -> str | None:
@@ -49,10 +54,10 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """Encodes texts as ``tokenizers`` does with ``add_special_tokens=False``.
 
-    ``cache_entries`` bounds the memory of one worker (about 200 bytes an entry); a full cache is emptied.
+    ``cache_entries`` bounds the memory of one worker (about 200 bytes an entry); a full cache forgets rare words.
     """
 
-    def __init__(self, path: str | None = None, cache_entries: int = 400_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
@@ -80,21 +85,20 @@ class WordTokenizer:
                 others.append(w)
             elif w.isalpha():
                 letters.append(w)
-            elif w[-1] in _TAIL and w[:-1].isalpha():
-                composed.append(w)
+            elif (body := w.rstrip(_TAIL)).isalpha():
+                composed.append((w, body, w[len(body) :]))
             else:
                 others.append(w)
         if composed:
-            letters = list({*letters, *{w[:-1] for w in composed}.difference(cache)})
+            letters = list({*letters, *{body for _, body, _ in composed}.difference(cache)})
+            others += {tail for _, _, tail in composed}.difference(cache, others)
         if letters:
             self._learn_letters(letters)
-        for w in composed:
-            if w[-1] not in cache:
-                cache[w[-1]] = self.whole(w[-1])
-            cache[w] = cache[w[:-1]] + cache[w[-1]]
         if others:
             for w, e in zip(others, self._tokenizer.encode_batch(others, add_special_tokens=False)):
                 cache[w] = np.array(e.ids, "<u4").tobytes()
+        for w, body, tail in composed:
+            cache[w] = cache[body] + cache[tail]
 
     def _learn_letters(self, words: list[str]) -> None:
         """Lower-case words of letters are one pre-token each, so many fit in one call; a word's last id ends it."""
@@ -112,20 +116,49 @@ class WordTokenizer:
             self._cache[w] = data[at:end]
             at = end
 
+    def _forget(self) -> None:
+        """Drop rare words: those of many ids go first, as words of few ids are the common ones."""
+        cache = self._cache
+        for most in (12, 8, 4):
+            for w in [w for w, ids in cache.items() if len(ids) > most]:
+                del cache[w]
+            if len(cache) <= self._limit // 2:
+                return
+        cache.clear()
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, end to end."""
-        if _ODD_SPACE.search(text):
-            return self.whole(text)
-        low = _lowered(text)
-        words, cache = (text if low is None else low).split(), self._cache
-        distinct = set(words)
-        missing = distinct.difference(cache)
-        if missing:
-            if len(cache) + 2 * len(missing) > self._limit:
-                cache.clear()
-                missing = distinct
-            self._learn(list(missing), low is not None)
-        return b"".join(map(cache.__getitem__, words))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """encode() of each text; words are learnt for GROUP_CHARS at a time."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, chars = [], 0
+        yield from self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        cache, split, new, as_is = self._cache, [], set(), set()
+        for text in texts:
+            if _ODD_SPACE.search(text):
+                split.append(None)
+                continue
+            low = _lowered(text)
+            words = (text if low is None else low).split()
+            split.append(words)
+            (as_is if low is None else new).update(words)
+        if len(cache) + 2 * (len(new) + len(as_is)) > self._limit:
+            self._forget()
+        if missing := new.difference(cache):
+            self._learn(list(missing), True)
+        if missing := as_is.difference(cache):
+            self._learn(list(missing), False)
+        for text, words in zip(texts, split):
+            yield self.whole(text) if words is None else b"".join(map(cache.__getitem__, words))
 
 
 @lru_cache(2)
