@@ -107,7 +107,7 @@ def _price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.n
     for room in range(int(lengths[0]), capacity + 1):
         m = upto[room]
         got = best[room - lengths[:m]] + values[:m]
-        k = int(got.argmax())
+        k = m - 1 - int(got[::-1].argmax())  # of equals the longest, short ones fit elsewhere
         best[room], choice[room] = got[k], k
         if best[room - 1] > got[k]:
             best[room], choice[room] = best[room - 1], -2  # leave one place free
