@@ -26,7 +26,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.01
 SEED = 8
 MAX_LANGUAGES = 1000
 #: Documents whose best language has a lower probability are rejected by the pipeline.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 UNDETERMINED = "und"
 
 _letters: np.ndarray | None = None

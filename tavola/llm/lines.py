@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     ``min_chars`` code points in at least ``min_docs`` documents lose all their lines except in the largest
     doc_id that holds them.  Documents are told apart by doc_id (null: one document, below all others); rows
     that share it all keep the lines that their doc_id keeps.  A null or empty text is one empty line.  Added
-    columns are named ``kept_text``, ``n_lines`` and ``n_dropped``; no rows give no rows.
+    columns are named ``kept_text``, ``n_lines`` and ``n_dropped`` and replace any of those names; no rows give no rows.
     """
     keys = materialize(line_keys(docs, min_chars), "line-keys")
     runs = LineRuns(docs.sparkSession, fanout)
@@ -103,4 +103,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     out = joined.withColumn("_lines", text_lines(F.col("text"))).withColumn("_bounds", bounds)
     out = out.withColumn("kept_text", F.when(F.col("_drops").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n")))
     out = out.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long")})
-    return out.select(*docs.columns, "kept_text", "n_lines", "n_dropped")
+    added = ("kept_text", "n_lines", "n_dropped")
+    return out.select(*[c for c in docs.columns if c not in added], *added)

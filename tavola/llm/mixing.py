@@ -94,10 +94,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     often as its target holds them whole, and once more as many as fit_budget() says of each size, which
     are those with the smallest seeded hash of their doc_id.  ``taken`` is a whole multiple of ``size``.
     Ranks are taken within shards of a source and size, so no task holds all documents of one size.
-    Documents of no words take part with 0.  Repeated rows are documents of their own.  No rows give no rows.
+    Documents of no words take part with 0.  Repeated rows are documents of their own.  Payload columns
+    with the name of a result column are left out.  No rows give no rows.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *[F.col(c) for c in payload if c not in ("doc_id", "source")])
+    payload = [c for c in payload if c not in ("doc_id", "source", "size", "source_size", "target", "taken")]
+    base = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *payload)
     narrow = materialize(base.select("doc_id", "source", "size"), "sizes")
     found = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -134,4 +136,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     rank = F.row_number().over(Window.partitionBy("_source", "size", "_shard").orderBy("_order", "doc_id"))
     ranked = ranked.withColumn("_rank", rank)
     taken = F.col("size") * (F.col("_whole") + F.when(F.col("_rank") <= F.col("_quota"), 1).otherwise(0))
-    return ranked.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *[c for c in payload if c not in ("doc_id", "source")])
+    return ranked.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), *payload)

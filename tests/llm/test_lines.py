@@ -25,7 +25,7 @@ def _brute(rows, min_chars=40, min_docs=5):
 
 def _check(spark, rows, **how):
     docs = spark.createDataFrame([(i, t, "extra") for i, t in rows], ROWS)
-    found = lines.dedup_lines(docs.select("doc_id", "text"), **how)
+    found = lines.dedup_lines(docs, **how)
     assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()], key=repr) == _brute(rows)
 
 
