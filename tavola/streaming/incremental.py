@@ -1,6 +1,6 @@
 """Incremental runs over arriving files: each micro-batch goes through a batch operator once.
 
-The reference work is batch; these wrappers run it as ``availableNow`` streams with a checkpoint, so that a restart goes on
+These wrappers run batch operators as ``availableNow`` streams with a checkpoint, so that a restart goes on
 where it stopped.
 """
 
