@@ -65,7 +65,8 @@ def _vectorised(of):
         for a, b in batches:
             yield pd.Series([None if x is None or y is None else of(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return F.pandas_udf(run, "double")
+    # Declared so that the optimizer doesn't copy the call into each expression that reads its result.
+    return F.pandas_udf(run, "double").asNondeterministic()
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tavola.config import ALIASES, Settings
@@ -10,17 +10,44 @@ from tavola.functions.similarity import indel_ratio
 from tavola.functions.text import ascii_fold, item_words, words
 
 _STRIP = ".,!?()[]{}'\"-"
+#: Distinct taxonomy words up to which they are sent to all executors; more are met through shared bigrams.
+BROADCAST_WORDS = 20_000
 
 
-def matching_words(item_words_: DataFrame, taxonomy_words: DataFrame, settings: Settings) -> DataFrame:
+def _bigrams(word: Column) -> Column:
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), lambda i: F.substring(word, i, 2))
+    return F.filter(pairs, lambda p: F.length(p) == 2)
+
+
+def _pairs(items: DataFrame, entries: DataFrame, settings: Settings, limit: int) -> DataFrame:
+    """Word pairs that can match.
+
+    Few taxonomy words are compared with all.  Beyond ``limit`` words meet through a bigram: of two words with a
+    ratio of 80 or more and over five letters together, the common letters outnumber their runs, so two are
+    adjacent in both; equal and contained words of two letters or more share one, too.  Shorter ones
+    meet by their letters.
+    """
+    if entries.limit(limit + 1).count() <= limit:
+        return items.crossJoin(F.broadcast(entries))
+    if settings.fuzzy_word < 80:
+        raise ValueError(f"more than {limit} taxonomy words need a fuzzy_word of 80 or more")
+    both = lambda word, folded: F.array_union(_bigrams(F.col(word)), _bigrams(F.col(folded)))
+    short = F.when(F.length("_t") < 2, F.array(F.col("_t"))).otherwise(F.expr("cast(array() as array<string>)"))
+    letters = F.array_distinct(F.concat(F.split("_i", ""), F.array(F.lit(""))))
+    t = entries.withColumn("_key", F.explode(F.array_union(both("tax_word", "_t"), short)))
+    i = items.withColumn("_key", F.explode(F.array_union(both("item_word", "_i"), letters)))
+    return i.join(t, "_key").drop("_key").distinct()
+
+
+def matching_words(item_words_: DataFrame, taxonomy_words: DataFrame, settings: Settings, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(tax_word, item_word) of two distinct vocabularies that match.
 
     Words match if they are equal, equal in ASCII, or, from four letters on, if the item's word contains
-    the taxonomy's in ASCII or is nearly the same.  The cheap tests come first; the taxonomy's vocabulary is small.
+    the taxonomy's in ASCII or is nearly the same.  The cheap tests come first.
     """
     t = taxonomy_words.select("tax_word", ascii_fold(F.col("tax_word")).alias("_t"))
     i = item_words_.select("item_word", ascii_fold(F.col("item_word")).alias("_i"))
-    pairs = i.crossJoin(t)
+    pairs = _pairs(i, t, settings, broadcast_words)
     long = F.length("tax_word") >= settings.fuzzy_word_length
     sure = (F.col("_t") == F.col("_i")) | (long & F.contains("_i", F.col("_t")))
     # Twice the shorter length bounds the common letters, so most pairs need no comparison.

@@ -74,6 +74,19 @@ def test_classify(spark):
     assert sorted(r.item_id for r in classify.run(items, tax, done, force=True).collect()) == [1, 2]
 
 
+def test_words_meet_through_bigrams(spark):
+    import random
+
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choices("abcé漢", k=n))
+    tax = [make(rng.randint(1, 9)) for _ in range(120)] + ["漢漢漢漢", "é", "a", ""]
+    near = [w[:k] + rng.choice("abcx") + w[k + 1 :] for w in tax for k in range(0, len(w), 2)]
+    items = spark.createDataFrame([(w,) for w in {*tax, *near, *(make(rng.randint(0, 9)) for _ in range(200))}], "item_word string")
+    entries = spark.createDataFrame([(w,) for w in set(tax) if w], "tax_word string")
+    all_, met = ({tuple(r) for r in classify.matching_words(items, entries, Settings(), n).collect()} for n in (20_000, 0))
+    assert all_ == met and len(all_) > len(set(tax))
+
+
 def test_evaluate(spark):
     truth = spark.createDataFrame([(1, "Pizza"), (2, "Beer"), (3, "Tea")], "item_id long, label string")
     predicted = spark.createDataFrame([(1, "pizza"), (2, "wine"), (9, "tea")], "item_id long, predicted string")
