@@ -34,14 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
 
     A lost executor costs the tasks under way, not what was written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 

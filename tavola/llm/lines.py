@@ -86,10 +86,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     that share it all keep the lines that their doc_id keeps.  A null or empty text is one empty line.  Added
     columns are named ``kept_text``, ``n_lines`` and ``n_dropped`` and replace any of those names; no rows give no rows.
     """
-    keys = materialize(line_keys(docs, min_chars), "line-keys")
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    keys = materialize(line_keys(docs, min_chars).withColumn("batch", batch), "line-keys", ("batch",))
     runs = LineRuns(docs.sparkSession, fanout)
     for k in range(batches):
-        held = keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("h1", "h2", "doc_id").distinct()
+        held = keys.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct()
         runs.add(held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
     repeated = materialize(runs.totals().where(F.col("n_docs") >= min_docs), "repeated-lines")
     drops = keys.join(repeated, ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("last_doc"), F.col("last_doc").isNotNull()))
