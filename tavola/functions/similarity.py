@@ -8,6 +8,7 @@ expression, for plans without Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,14 +17,32 @@ from pyspark.sql import functions as F
 from tavola.config import STOP_WORDS, STREET_WORDS, Settings
 from tavola.functions.text import fold, without, words
 
+#: Strings of which a Python worker keeps the letters' places and the words.
+CACHED = 50_000
+
+
+@lru_cache(CACHED)
+def _places(text: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(text):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+@lru_cache(CACHED)
+def _tokens(text: str) -> tuple[str, frozenset[str], bool]:
+    """Sorted words joined, their set, and whether no word repeats."""
+    words_ = sorted(text.split())
+    distinct = frozenset(words_)
+    return " ".join(words_), distinct, len(distinct) == len(words_)
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence; one word operation for each character of ``b``."""
     if not a or not b:
         return 0
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
+    at = _places(a)
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -38,18 +57,21 @@ def ratio(a: str, b: str) -> float:
 
 
 def token_set(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
+    x, y = _tokens(a)[1], _tokens(b)[1]
     if not x or not y:
         return 0.0
-    both, own, other = sorted(x & y), sorted(x - y), sorted(y - x)
-    if both and (not own or not other):
+    both = sorted(x & y)
+    if not both:
+        return ratio(" ".join(sorted(x)), " ".join(sorted(y)))
+    own, other = sorted(x - y), sorted(y - x)
+    if not own or not other:
         return 100.0
     shared, left, right = " ".join(both), " ".join(both + own), " ".join(both + other)
-    return max(ratio(left, right), ratio(shared, left) if both else 0.0, ratio(shared, right) if both else 0.0)
+    return max(ratio(left, right), ratio(shared, left), ratio(shared, right))
 
 
 def token_sort(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return ratio(_tokens(a)[0], _tokens(b)[0])
 
 
 def name_score_of(a: str, b: str, shortcut: float = 0.70) -> float:
@@ -57,7 +79,12 @@ def name_score_of(a: str, b: str, shortcut: float = 0.70) -> float:
     if not a or not b:
         return 0.0
     best = max(ratio(a, b), token_sort(a, b)) / 100
-    return max(best, token_set(a, b) / 100) if best < shortcut else best
+    if best >= shortcut:
+        return best
+    (_, x, once), (_, y, once_too) = _tokens(a), _tokens(b)
+    if once and once_too and x.isdisjoint(y):
+        return best  # the sets' ratio is the sorted one
+    return max(best, token_set(a, b) / 100)
 
 
 def _vectorised(of):

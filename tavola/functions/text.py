@@ -122,22 +122,23 @@ def is_garbage(text: Column) -> Column:
     squeezed = F.replace(text, F.lit(" "), F.lit(""))
     kinds = F.size(F.array_distinct(F.filter(F.split(F.lower(squeezed), ""), lambda c: c != "")))
     after_price = F.trim(F.regexp_extract(text, r"\d+\s*€(.*)$", 1))
+    # Any rule will do, so those that are cheap or often hold come first and those over words and letters last.
     rules = [
+        text.rlike(r"[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{4,}"),
+        text.rlike(r"^\d+[,.]\d*[a-zA-Z]"),
+        text.rlike(r"(?i)www\.|\.com|\.es\b"),
+        text.rlike(FOOTER),
         share(digits) > MAX_DIGITS,
         share(n - digits - letters) > MAX_SYMBOLS,
         (letters > 0) & (share(letters) < MIN_LETTERS),
-        (F.regexp_replace(text, "[ .,]", "") != "") & (letters == 0),
-        text.rlike(r"(?i)www\.|\.com|\.es\b"),
-        text.rlike(FOOTER),
-        F.exists(tokens, lambda w: w.rlike(r"^(.)\1{2,}$")),
-        (kinds <= 3) & (n > 6) & (share(letters) < 0.5),
+        (letters == 0) & (F.regexp_replace(text, "[ .,]", "") != ""),
         (n > 3) & (n < 6) & (digits > 0) & (letters > 0) & ~text.rlike(r"\s"),
         F.contains(text, F.lit("€")) & (share(digits) > 0.3) & (letters < 3),
+        text.rlike(r"\d+\s*€") & (after_price != "") & (F.length(after_price) < 12) & (share(letters) < 0.65),
+        (n > 6) & (share(letters) < 0.5) & (kinds <= 3),
         (F.size(tokens) >= 2) & (F.size(F.array_distinct(tokens)) == 1),
         (F.size(tokens) >= 3) & (F.size(F.array_distinct(tokens)) < F.size(tokens)),
-        text.rlike(r"\d+\s*€") & (after_price != "") & (F.length(after_price) < 12) & (share(letters) < 0.65),
-        text.rlike(r"^\d+[,.]\d*[a-zA-Z]"),
-        text.rlike(r"[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{4,}"),
+        F.exists(tokens, lambda w: w.rlike(r"^(.)\1{2,}$")),
     ]
     bad = rules[0]
     for rule in rules[1:]:

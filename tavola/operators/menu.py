@@ -111,17 +111,19 @@ def match_items(candidates: DataFrame, known: DataFrame, settings: Settings | No
     Names are compared within a menu; ties go to the first item by item_id.  A known item may match many candidates.
     """
     s = settings or Settings()
-    a = candidates.withColumn("_name", normalize_item(F.col("name")))
-    b = known.withColumn("_db_name", normalize_item(F.col("db_name")))
-    same = ["menu_id"]
-    pairs = a.join(b, same)
-    if by_section:
-        pairs = pairs.where(F.col("section").eqNullSafe(F.col("db_section")))
+    keys = ["menu_id", "_section"] if by_section else ["menu_id"]
+    section = lambda name: F.coalesce(F.col(name), F.lit("")) if by_section else F.lit("")
+    a = candidates.withColumns({"_name": normalize_item(F.col("name")), "_section": section("section")})
+    b = known.withColumns({"_db_name": normalize_item(F.col("db_name")), "_section": section("db_section")})
+    # Equal names have equal scores, so each is compared once a menu, for its first item.
+    fields = F.struct("item_id", "db_name", "db_price", "db_description")
+    names = b.groupBy(*keys, "_db_name").agg(F.min_by(fields, "item_id").alias("_item"))
+    pairs = a.select(*keys, "_name").distinct().join(names, keys)
     pairs = pairs.withColumn("match_score", token_set_ratio(F.col("_name"), F.col("_db_name")) / 100)
-    rank = F.row_number().over(Window.partitionBy("menu_id", "at").orderBy(F.desc("match_score"), "item_id"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_name").orderBy(F.desc("match_score"), F.col("_item.item_id")))
     best = pairs.where(F.col("match_score") >= s.menu_cutoff).withColumn("_rank", rank).where("_rank = 1")
-    best = best.select("menu_id", "at", "item_id", "db_name", "db_price", "db_description", "match_score")
-    return candidates.join(best, ["menu_id", "at"], "left")
+    best = best.select(*keys, "_name", "_item.*", "match_score")
+    return a.join(best, [*keys, "_name"], "left").select(*candidates.columns, "item_id", "db_name", "db_price", "db_description", "match_score")
 
 
 def menu_diff(candidates: DataFrame, known: DataFrame, settings: Settings | None = None, include_removed: bool = False, by_section: bool = False) -> DataFrame:

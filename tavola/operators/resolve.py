@@ -95,7 +95,9 @@ def resolve(left: DataFrame, right: DataFrame, settings: Settings | None = None,
     s = settings or Settings()
     a, b = prepared(left, "l"), prepared(right, "r")
     kept, todo = recheck(a, b, old, s) if old is not None else (None, a)
-    best = best_matches(scored(candidate_pairs(todo, b, s, salts), s), s.match_threshold)
+    # Pairs are dealt by left venue before they are scored: ranking needs that anyway, and it evens out dense cells.
+    pairs = candidate_pairs(todo, b, s, salts).repartition("l_id")
+    best = best_matches(scored(pairs, s), s.match_threshold)
     if kept is not None:
         best = kept.select(best.columns).unionByName(best)
     matches = one_to_one(best)
