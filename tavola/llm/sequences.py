@@ -124,3 +124,13 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
             yield from flush()
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sequences, SCHEMA)
+
+
+def write_sequences(sequences: DataFrame, path: str) -> None:
+    """Write packed sequences as Parquet: one file a task, each row a fixed-width row of the id matrix with its segments."""
+    sequences.write.mode("overwrite").parquet(path)
+
+
+def read_matrix(rows: list, capacity: int = CAPACITY) -> np.ndarray:
+    """The id matrix of collected rows, one sequence a row."""
+    return np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<u4").reshape(-1, capacity)

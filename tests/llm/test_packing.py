@@ -121,3 +121,12 @@ def test_packed_sequences(spark, window):
         data = b"".join(parts[k] for k in sorted(k for k in parts if k[0] == i))
         assert data == TOKENIZER.whole(t or "") + bytes(4)
     assert found[3, 0] == 2 and found[None, 0] == 1
+
+
+def test_written_matrix_reads_back(spark, tmp_path):
+    docs, _ = _docs(spark)
+    sequences.write_sequences(sequences.packed_sequences(docs, capacity=256), str(tmp_path / "m"))
+    rows = spark.read.parquet(str(tmp_path / "m")).collect()
+    matrix = sequences.read_matrix(rows, 256)
+    assert matrix.shape == (len(rows), 256)
+    assert all(matrix[k, n - 1] == 0 for k, r in enumerate(rows) for n in r.cu_seqlens[1:] if n < 256)
