@@ -22,6 +22,8 @@ from .common import map_batches, materialize
 from .components import component_labels
 
 SHINGLE_WORDS, RADIUS, HASH_SEED = 3, 3, 42
+#: Rows that a task looks at together; a run of equal keys is never cut.
+BUFFER_ROWS = 1 << 18
 _BLOCKS = ((0, 22), (22, 43), (43, 64))
 
 
@@ -123,7 +125,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     for batch in batches:
         parts.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
         rows += batch.num_rows
-        if rows < 1 << 18:
+        if rows < BUFFER_ROWS:
             continue
         key, fp = np.concatenate([held_key, *(p[0] for p in parts)]), np.concatenate([held_fp, *(p[1] for p in parts)])
         parts, rows = [], 0

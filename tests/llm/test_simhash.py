@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -68,18 +69,21 @@ def test_every_link_meets(spark):
     assert [got[i] for i in range(len(fps))] == _brute(fps)
 
 
-def test_large_runs_are_cut_at_batches():
+@pytest.mark.parametrize("buffer", [1, 10, 1 << 18])
+def test_runs_go_on_over_batches(monkeypatch, buffer):
     import pyarrow as pa
 
-    fps = np.array([5 ^ (1 << b) ^ (1 << c) for b in range(40) for c in range(b)] + [5], np.uint64)
-    keys = np.zeros(len(fps), np.int64)
+    monkeypatch.setattr(simhash, "BUFFER_ROWS", buffer)
+    ball = [5 ^ (1 << b) ^ (1 << c) for b in range(40) for c in range(b)] + [5]
+    rows = [(0, 2**63), (1, 2**50), (1, 2**50 + 1), *((2, x) for x in ball), (3, 1), (4, 31 << 55), (4, 2**51), (4, 2**51 + 1), (5, 7)]
+    keys, fps = np.array([k for k, _ in rows]), np.array([x for _, x in rows], np.uint64)
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[s : s + 7]), pa.array(fps[s : s + 7].view(np.int64))], ["key", "fp"]) for s in range(0, len(fps), 7)]
     edges = [e for b in simhash._links(iter(batches), 3) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    reached, todo = {int(fps[0])}, True
+    reached, todo = {5}, True
     while todo:
         new = {x for e in edges for x in e if set(e) & reached} - reached
         reached, todo = reached | new, bool(new)
-    assert reached == set(fps.tolist())
+    assert set(ball) <= reached and {frozenset(e) for e in edges if not set(e) & set(ball)} == {frozenset((2**50, 2**50 + 1)), frozenset((2**51, 2**51 + 1))}
 
 
 def test_components_of_a_long_path(spark):
