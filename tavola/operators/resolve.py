@@ -62,7 +62,7 @@ def best_matches(pairs: DataFrame, threshold: float) -> DataFrame:
     """The best right venue of each left one, if it reaches the threshold; ties to the first looked at; 0 never wins."""
     order = [F.desc("score"), F.asc("cell_rank"), F.asc("r_ordinal")]
     rank = F.row_number().over(Window.partitionBy("l_id").orderBy(*order))
-    return pairs.where("score > 0").withColumn("_rank", rank).where(f"_rank = 1 AND score >= {threshold!r}D").drop("_rank")
+    return pairs.withColumn("_rank", rank).where(f"_rank = 1 AND score > 0 AND score >= {threshold!r}D").drop("_rank")
 
 
 def one_to_one(best: DataFrame) -> DataFrame:
