@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, on tables in the shared folder."""
+"""Connected components by hooking labels with pointer jumping, on tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MAX_ROUNDS = 60
-
 
 def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the smallest node that it reaches.
 
-    Each round takes the smallest label of a node's neighbours and follows labels twice.  No row grows
-    with a component's size, and both joins are plain equi-joins that Spark may split when skewed.
+    Each round takes the smallest label of a node's neighbours for the node and for the node of its label
+    (so whole trees of labels hang onto smaller ones), and follows labels twice.  Rounds grow with the
+    logarithm of a component's size, not with its length, and go on until no label changes.  No row grows
+    with a component's size, and the joins are plain equi-joins that Spark may split when skewed.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
+        met = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("near"))
+        own = F.struct(F.col("node").alias("node"), F.col("near").alias("label"), F.col("label").alias("was"))
+        hook = F.struct(F.col("label").alias("node"), F.col("near").alias("label"), F.lit(None).cast("long").alias("was"))
+        moved = met.select(F.inline(F.array(own, hook))).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         moved = materialize(moved, "labels")
         up = moved.select(F.col("node").alias("_node"), F.col("label").alias("_up"))
         jumped = materialize(moved.join(up, moved["label"] == up["_node"], "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), "was"), "labels")
         labels = jumped.select("node", "label")
         if jumped.where("label <> was").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

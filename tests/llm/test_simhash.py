@@ -92,6 +92,15 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(101)}, 500: 500, 501: 500}
 
 
+def test_components_of_a_shuffled_path(spark):
+    """Basins whose roots must hang onto each other: plain propagation needs over 60 rounds here."""
+    ids = list(range(1500))
+    random.Random(4).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(2000, 2001)], "a long, b long")
+    got = {r.node: r.label for r in component_labels(edges).collect()}
+    assert got == {**{i: 0 for i in ids}, 2000: 2000, 2001: 2000}
+
+
 def _near(rng, words):
     out = list(words)
     out[rng.randrange(len(out))] = "changed"
