@@ -72,7 +72,8 @@ def _search_bucket(ids: np.ndarray, p: np.ndarray, norms: np.ndarray, qid: np.nd
         qi, qv, qn, qb = qid[part], q[part], qnorm[part], bound[part]
         least = np.where(qn > 0, qb / np.where(qn > 0, qn, 1), -np.inf)  # norms below it can't reach the bound
         reach = np.searchsorted(-norms, -(least - slack * np.abs(least)), "right")
-        cosine = np.where(norms[0] > 0, least / max(norms[0], 1e-300), 1)
+        # No query or bucket of norm 0 has an angle: such go by length.
+        cosine = np.where((norms[0] > 0) & (qn > 0), least / max(norms[0], 1e-300), -np.inf)
         by_length = np.flatnonzero((cosine < COORDINATE_COSINE) & (reach > 0))
         if len(by_length):  # one block of products up to the longest prefix
             most = int(reach[by_length].max())

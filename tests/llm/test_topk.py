@@ -46,6 +46,15 @@ def test_coordinate_pruning_is_exact(spark, monkeypatch):
     _check(spark, rows, k=5, every=7, bucket_rows=64)
 
 
+def test_zero_vectors_alone_in_a_bucket(spark, monkeypatch):
+    """Ties of a zero query go to the smallest ids, which only buckets of zero vectors hold."""
+    monkeypatch.setattr(topk, "SEED_ROWS", 30)
+    rng = random.Random(4)
+    rows = [(i, [0.01, 0.0, 0.0] if i % 2 else []) for i in range(60)] + [(1000 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    _check(spark, rows, bucket_rows=8)
+    _check(spark, [(i, []) for i in range(45)], bucket_rows=8)
+
+
 def test_few_rows(spark):
     _check(spark, [])
     _check(spark, [(0, [1.0, 2.0])])
