@@ -41,16 +41,17 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * set_ > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; null and wordless texts have 0."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, key: str | None = None) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and the binary column ``key`` if named; null and wordless texts have 0."""
+    more = [key] if key else []
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *((k, pa.binary()) for k in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], schema=schema)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more), run, ", ".join(["doc_id long, fp long", *(f"{k} binary" for k in more)]))
 
 
 def _variant_masks() -> list[tuple[int, int, int]]:
@@ -135,6 +136,18 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     yield from run(np.concatenate([held_key, *(p[0] for p in parts)]), np.concatenate([held_fp, *(p[1] for p in parts)]))
 
 
+def _labelled(first: DataFrame, radius: int) -> DataFrame:
+    """fp, first_doc and root, the smallest fingerprint reachable, of distinct fingerprints with what is first among their rows."""
+    if not 0 <= radius <= 3:
+        raise ValueError("three blocks serve a radius of at most 3")
+    first = materialize(first, "distinct-fingerprints")
+    meeting = variants(first.select("fp")).repartition("key").sortWithinPartitions("key", "fp")
+    edges = map_batches(meeting, lambda batches: _links(batches, radius), "a long, b long")
+    labels = component_labels(edges)
+    labelled = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first_doc", F.coalesce("label", "fp").alias("root"))
+    return materialize(labelled, "labelled")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links of at most ``radius`` (3 at most) bits.
 
@@ -142,28 +155,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     stay, each with the component of its fingerprint; a null doc_id counts only where a component has no
     other.  Only doc_id and text are read.  No rows give no rows.
     """
-    if not 0 <= radius <= 3:
-        raise ValueError("three blocks serve a radius of at most 3")
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
-    meeting = variants(first.select("fp")).repartition("key").sortWithinPartitions("key", "fp")
-    edges = map_batches(meeting, lambda batches: _links(batches, radius), "a long, b long")
-    labels = component_labels(edges)
-    labelled = first.join(labels, first["fp"] == labels["node"], "left").select("fp", "first_doc", F.coalesce("label", "fp").alias("root"))
-    labelled = materialize(labelled, "labelled")
+    labelled = _labelled(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), radius)
     roots = labelled.groupBy(F.col("root").alias("_root")).agg(F.min("first_doc").alias("component_id"))
     of = materialize(labelled.join(roots, labelled["root"] == roots["_root"]).select(F.col("fp").alias("_fp"), "component_id"), "components")
     return rows.join(of, rows["fp"] == of["_fp"]).select("doc_id", "fp", "component_id")
 
 
 def distinct_documents(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document of the smallest doc_id.
+    """The rows of ``docs`` without near duplicates: of each component one row, that of the smallest doc_id.
 
-    Of repeated rows of that document one stays.
+    A null doc_id comes after all others; among different texts of one doc_id in a component the smallest
+    hash decides.  Rows are told apart by doc_id and text, so null or reused ids lose no component.
     """
-    found = near_duplicates(docs, words, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id"])
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
+    keyed = docs.withColumn("_key", F.unhex(F.sha2(key.cast("binary"), 256)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first_doc")
+    labelled = _labelled(fingerprints(keyed, words, "_key").groupBy("fp").agg(first), radius)
+    kept = labelled.groupBy("root").agg(F.min("first_doc").alias("_first")).select(F.col("_first._key").alias("_key"))
+    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:

@@ -125,3 +125,13 @@ def test_odd_rows(spark):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs).collect()) == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert sorted(str(r.doc_id) for r in simhash.distinct_documents(docs).collect()) == ["4", "None"]
+
+
+def test_each_component_keeps_one_row(spark):
+    """Null and reused doc_ids: texts, not ids, are what must stay."""
+    rows = [(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, "only here"), (None, "and this too"), (4, "another text of four"), (5, "another text of four"), (6, "six has this"), (7, "six has this"), (7, "seven has that"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.distinct_documents(docs).collect()), key=str)
+    texts = [t or "" for _, t in kept]
+    assert sorted(texts) == sorted({t or "" for _, t in rows})
+    assert {(4, "a b c"), (4, "another text of four"), (6, "six has this"), (7, "seven has that"), (None, "only here"), (None, "and this too")} <= set(kept)
