@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,9 @@ SHARE, MOST = 1.5, 2.0
 SEED = 20
 #: Words that the dynamic programme fits exactly; what exceeds it is spread over the lengths first.
 DP_WORDS = 1 << 16
+#: Where that misses: bits of a knapsack of the whole budget, lots whose subsets meet from two halves, lots of
+#: the longest documents that are tried in and out, and how many choices are tried.
+EXACT_BITS, MEET_LOTS, HEAD_LOTS, TRIES = 1 << 31, 40, 16, 16
 #: Sources are a mixture's configuration; more than this is refused rather than gathered.
 MAX_SOURCES = 100_000
 SHARD_ROWS, MAX_SHARDS = 1024, 1 << 16
@@ -43,17 +49,72 @@ def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most:
     return out
 
 
-def fit_budget(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
-    """How many documents of each size to take, so that their sizes add up to ``budget`` or as near below as can be.
+def _lots(counts: dict[int, int], limit: int) -> list[tuple[int, int]]:
+    """(size, how many) from the largest size down: powers of two and a remainder that make up any count."""
+    out = []
+    for s in sorted(counts, reverse=True):
+        free, lot = min(counts[s], limit // s), 1
+        while free > 0:
+            lot = min(lot, free)
+            out.append((s, lot))
+            free -= lot
+            lot *= 2
+    return out
 
-    Sizes are first taken in proportion, then one more of each from the largest down while it fits; the rest,
-    of at most ``dp_words`` words, is a bounded knapsack, solved exactly over the documents that are left.
-    """
-    total = sum(s * n for s, n in counts.items())
+
+def _knapsack(counts: dict[int, int], limit: int) -> dict[int, int]:
+    """Counts whose sizes add up to ``limit`` or as near below as can be; memory grows with lots x ``limit`` bits."""
+    # Bit w of `reach` says whether w words can be made.
+    mask, reach, history = (1 << (limit + 1)) - 1, 1, []
+    for s, lot in _lots(counts, limit):
+        if reach >> limit & 1:
+            break
+        history.append((s, lot, reach))
+        reach |= reach << (s * lot) & mask
+    out: dict[int, int] = {}
+    at = reach.bit_length() - 1
+    for s, lot, before in reversed(history):
+        if not before >> at & 1:
+            out[s] = out.get(s, 0) + lot
+            at -= s * lot
+    return out
+
+
+def _sums(lots: list[tuple[int, int]]) -> np.ndarray:
+    """Words of every subset; bit i of its place stands for lot i."""
+    out = np.zeros(1, np.int64)
+    for s, lot in lots:
+        out = np.concatenate([out, out + s * lot])
+    return out
+
+
+def _two_halves(lots: list[tuple[int, int]], limit: int) -> dict[int, int]:
+    """As _knapsack() over at most MEET_LOTS lots, whatever their words: the subsets of two halves meet."""
+    half = len(lots) // 2
+    a, b = _sums(lots[:half]), _sums(lots[half:])
+    order = np.argsort(b, kind="stable")
+    fit = np.searchsorted(b[order], limit - a, "right") - 1
+    total = np.where(fit >= 0, a + b[order[np.maximum(fit, 0)]], -1)
+    best = int(total.argmax())
+    places = best | int(order[fit[best]]) << half
+    out: dict[int, int] = {}
+    for i, (s, lot) in enumerate(lots):
+        if places >> i & 1:
+            out[s] = out.get(s, 0) + lot
+    return out
+
+
+def _words(take: dict[int, int]) -> int:
+    return sum(s * n for s, n in take.items())
+
+
+def _fit_in_proportion(counts: dict[int, int], budget: int, dp_words: int) -> dict[int, int]:
+    """Sizes in proportion, then one more of each from the largest down while it fits, then a knapsack of the rest."""
+    total = _words(counts)
     if budget >= total:
         return dict(counts)
     take = {s: n * budget // total for s, n in counts.items()}
-    rest = budget - sum(s * n for s, n in take.items())
+    rest = budget - _words(take)
     order = sorted(counts, reverse=True)
     while rest > dp_words:
         before = rest
@@ -65,24 +126,80 @@ def fit_budget(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) ->
                 rest -= s
         if rest == before:
             break
-    # Bounded knapsack: bit w of `reach` says whether w words can be made; counts are split into powers of two.
-    limit = min(rest, dp_words)
-    mask, reach, history = (1 << (limit + 1)) - 1, 1, []
-    for s in order:
-        free, lot = min(counts[s] - take[s], limit // s), 1
-        while free > 0 and not reach >> limit & 1:
-            lot = min(lot, free)
-            history.append((s, lot, reach))
-            reach |= reach << (s * lot) & mask
-            free -= lot
-            lot *= 2
-        if reach >> limit & 1:
+    for s, n in _knapsack({s: counts[s] - take[s] for s in order}, min(rest, dp_words)).items():
+        take[s] += n
+    return take
+
+
+def fit_budget(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
+    """How many documents of each size to take, so that their sizes add up to ``budget`` or as near below as can be.
+
+    Sizes are first taken in proportion, see _fit_in_proportion().  Where that misses the budget by more than
+    the sizes' common divisor explains and its rest was above ``dp_words``, all documents are chosen anew: by
+    a knapsack of the whole budget within EXACT_BITS, or for at most MEET_LOTS lots from two halves, both
+    exact.  Beyond both, the longest documents are tried in and out before the rest is shared, and some are
+    exchanged, until the budget is met; only there a fit that misses it isn't proved the nearest.
+    """
+    total = _words(counts)
+    if budget >= total:
+        return dict(counts)
+    best = _fit_in_proportion(counts, budget, dp_words)
+    g = math.gcd(*counts)
+    aim = budget - budget % g
+    start = sum(s * (n * budget // total) for s, n in counts.items())
+    if _words(best) == aim or budget - start <= dp_words:
+        return best
+    lots = _lots(counts, budget)
+    if len(lots) <= MEET_LOTS:
+        found = _two_halves(lots, budget)
+    elif len(lots) * (budget // g) <= EXACT_BITS:
+        found = {s * g: n for s, n in _knapsack({s // g: n for s, n in counts.items()}, budget // g).items()}
+    else:
+        return _exchange(counts, budget, aim, _with_longest(counts, budget, aim, best, dp_words))
+    return {s: found.get(s, 0) for s in counts}
+
+
+def _with_longest(counts: dict[int, int], budget: int, aim: int, best: dict[int, int], dp_words: int) -> dict[int, int]:
+    """The best of ``best`` and of some choices of the longest documents with the others in proportion."""
+    heads: list[tuple[int, int]] = []
+    for s in sorted(counts, reverse=True):
+        lots = _lots({s: counts[s]}, budget)
+        if s <= dp_words or len(heads) + len(lots) > HEAD_LOTS:
             break
-    at = reach.bit_length() - 1
-    for s, lot, before in reversed(history):
-        if not before >> at & 1:
-            take[s] += lot
-            at -= s * lot
+        heads += lots
+    tail = {s: n for s, n in counts.items() if not heads or s < heads[-1][0]}
+    if not heads or not tail:
+        return best
+    sums = _sums(heads)
+    able = np.flatnonzero((sums <= budget) & (sums >= budget - _words(tail)))
+    if not len(able):
+        able = np.array([np.where(sums <= budget, sums, -1).argmax()])
+    share = budget / _words(counts) * int(sums[-1])
+    for place in able[np.argsort(np.abs(sums[able] - share), kind="stable")][:TRIES].tolist():
+        take = {**dict.fromkeys(counts, 0), **_fit_in_proportion(tail, budget - int(sums[place]), dp_words)}
+        for i, (s, lot) in enumerate(heads):
+            take[s] += lot * (place >> i & 1)
+        best = max(best, take, key=_words)
+        if _words(best) == aim:
+            break
+    return best
+
+
+def _exchange(counts: dict[int, int], budget: int, aim: int, take: dict[int, int]) -> dict[int, int]:
+    """Lots of some sizes are taken out and the nearest of all their subsets goes in, some times over."""
+    for seed in range(TRIES):
+        if _words(take) == aim:
+            break
+        rng = random.Random(seed)
+        held, free = _lots(take, budget), _lots({s: n - take[s] for s, n in counts.items()}, budget)
+        inside = rng.sample(held, min(len(held), MEET_LOTS // 2))
+        outside = rng.sample(free, min(len(free), MEET_LOTS - len(inside)))
+        base = dict(take)
+        for s, lot in inside:
+            base[s] -= lot
+        for s, n in _two_halves(inside + outside, budget - _words(base)).items():
+            base[s] += n
+        take = max(take, base, key=_words)
     return take
 
 

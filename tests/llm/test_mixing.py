@@ -41,6 +41,35 @@ def test_greedy_part_leaves_little():
         assert sum(s * n for s, n in mixing.fit_budget(counts, budget, dp_words=500).items()) == budget
 
 
+@pytest.mark.parametrize("way", ["as it is", "knapsack", "exchange"])
+def test_few_long_documents(monkeypatch, way):
+    """Long documents must go in or out as the budget needs; the second and third way are forced."""
+    if way != "as it is":
+        monkeypatch.setattr(mixing, "MEET_LOTS", 0 if way == "knapsack" else 2)
+    if way == "exchange":
+        monkeypatch.setattr(mixing, "EXACT_BITS", 0)
+    cases = [({60_000: 1, 50_000: 1, 40_000: 1}, 90_000), ({100_000: 1, 90_000: 1, 80_000: 1}, 170_000), ({1_000_000: 1, 500: 2000}, 1_900_000)]
+    for counts, budget in cases:
+        take = mixing.fit_budget(counts, budget)
+        assert all(0 <= take[s] <= counts[s] for s in counts)
+        assert way == "exchange" and len(counts) == 3 or sum(s * n for s, n in take.items()) == budget
+    rng = random.Random(6)
+    for _ in range(10):
+        counts = {rng.randint(70_000, 300_000): rng.randint(1, 2) for _ in range(7)}
+        budget = rng.randint(0, sum(s * n for s, n in counts.items()))
+        take = mixing.fit_budget(counts, budget)
+        got = sum(s * n for s, n in take.items())
+        assert all(0 <= take[s] <= counts[s] for s in counts) and got <= budget
+        assert way == "exchange" or got == _best(counts, budget)
+
+
+def test_many_long_documents_meet_a_large_budget():
+    rng = random.Random(7)
+    counts = {rng.randint(10**6, 10**8): 1 for _ in range(300)} | {10**10: 1}
+    budget = 10**10 + sum(counts) // 7
+    assert sum(s * n for s, n in mixing.fit_budget(counts, budget).items()) == budget
+
+
 ROWS = "doc_id long, text string, source string, size string, taken string"
 
 
