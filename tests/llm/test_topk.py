@@ -25,19 +25,17 @@ def _check(spark, rows, k=20, every=20, **how):
     assert sorted(map(tuple, topk.top_k(df, k, every, **how).collect())) == _brute(rows, k, every)
 
 
-@pytest.mark.parametrize("seeds,bucket", [(2048, 4096), (30, 16)])
-def test_matches_brute_force(spark, monkeypatch, seeds, bucket):
-    monkeypatch.setattr(topk, "SEED_ROWS", seeds)
+@pytest.mark.parametrize("group,bucket", [(None, 4096), (30, 16)])
+def test_matches_brute_force(spark, group, bucket):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(0, 1) * (1 + 5 * (i % 17 == 0)) for _ in range(8)]) for i in range(400)]
     rows += [(1000 + i, [0.5] * 8) for i in range(150)] + [(2000 + i, [0.0] * 8) for i in range(45)]
-    rows += [(3000, None), (3020, [1.0, None] + [0.0] * 6), (3040, [float("nan")] + [0.0] * 7), (3060, [float("inf")] * 8), (3080, [-1.0] * 3), (3100, []), (None, [1.0] * 8)]
-    _check(spark, rows, bucket_rows=bucket)
+    rows += [(3000, None), (3020, [1.0, None] + [0.0] * 6), (3040, [float("nan")] + [0.0] * 7), (3060, [float("inf")] * 8), (3080, [-1.0] * 3), (3100, []), (None, [1.0] * 8), (7, [9.0] * 8), (7, [9.0] * 8), (40, [2.0] * 8)]
+    _check(spark, rows, bucket_rows=bucket, group_rows=group)
 
 
-def test_coordinate_pruning_is_exact(spark, monkeypatch):
+def test_coordinate_pruning_is_exact(spark):
     """Directions close together, so that local cosine thresholds are high."""
-    monkeypatch.setattr(topk, "SEED_ROWS", 40)
     rng = random.Random(3)
     rows = []
     for i in range(600):
@@ -46,9 +44,8 @@ def test_coordinate_pruning_is_exact(spark, monkeypatch):
     _check(spark, rows, k=5, every=7, bucket_rows=64)
 
 
-def test_zero_vectors_alone_in_a_bucket(spark, monkeypatch):
+def test_zero_vectors_alone_in_a_bucket(spark):
     """Ties of a zero query go to the smallest ids, which only buckets of zero vectors hold."""
-    monkeypatch.setattr(topk, "SEED_ROWS", 30)
     rng = random.Random(4)
     rows = [(i, [0.01, 0.0, 0.0] if i % 2 else []) for i in range(60)] + [(1000 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)]
     _check(spark, rows, bucket_rows=8)
@@ -66,3 +63,58 @@ def test_large_components_stay_exact():
 
     q, p = np.array([[2**30, 3]]), np.array([[2**30, 5], [2**29, 7]])
     assert topk.products(q, p).tolist() == [[2**60 + 15, 2**59 + 21]]
+    assert topk.products(np.array([[2**62, 2**62]]), np.array([[2, 2], [-4, -4], [1, -1]])).tolist() == [[2**63 - 1, -(2**63), 0]]
+
+
+def test_huge_components_saturate(spark):
+    rows = [(i, [3.0e38 * (-1) ** i, float(i)]) for i in range(6)] + [(20, [1e30, 1.0]), (21, [2.0, 2.0])]
+    found = topk.top_k(spark.createDataFrame([(i, v, "x") for i, v in rows], ROWS)).collect()
+    by = {(r.query_id, r.vec_id): r.score for r in found}
+    assert by[0, 2] == 2**63 - 1 and by[0, 1] == -(2**63) and by[20, 21] == 2**63 - 1
+
+
+def _clustered(n, seed=5, dim=16, hubs=24):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    hub = rng.normal(size=(hubs, dim))
+    x = hub[rng.integers(0, hubs, n)] + 0.05 * rng.normal(size=(n, dim))
+    return [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+
+
+def test_clustered_queries_skip_buckets(spark, monkeypatch):
+    """Few of all queries x buckets are sent, and no group exceeds its rows."""
+    sent, groups, real = [], [], topk.materialize
+
+    def spy(df, name, *more):
+        got = real(df, name, *more)
+        if name.startswith("sent-"):
+            sent.append(got.count())
+            groups.append(got.groupBy("bucket", "chunk").count().agg({"count": "max"}).first()[0] or 0)
+        return got
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    rows = _clustered(2400)
+    _check(spark, rows, bucket_rows=60, group_rows=400)
+    assert sum(sent) < 0.25 * 120 * 40 and max(groups) <= 120
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    """A third of all rows are one vector: its bucket is dealt in chunks, and equal queries are sent once."""
+    kept, real = {}, topk.materialize
+
+    def spy(df, name, *more):
+        kept[name] = real(df, name, *more)
+        return kept[name]
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    rows = _clustered(600) + [(10_000 + i, [1.0] * 16) for i in range(300)]
+    _check(spark, rows, bucket_rows=50, group_rows=100)
+    sizes = {r.bucket: r["count"] for r in kept["placed"].groupBy("bucket").count().collect()}
+    assert max(sizes.values()) >= 300
+    chunks = {}
+    for r in kept["placed"].selectExpr("bucket", "xxhash64(row) AS h").collect():
+        at = r.bucket, r.h % -(-sizes[r.bucket] // 100)
+        chunks[at] = chunks.get(at, 0) + 1
+    assert max(chunks.values()) <= 150 and kept["queries"].count() == 31
+    assert kept["sent-first"].groupBy("bucket", "chunk").count().agg({"count": "max"}).first()[0] <= 31
