@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 _numbers = itertools.count()
 _own: dict[str, str] = {}
 
-#: Rows of one Arrow batch sent to Python; Spark itself bounds its bytes (arrow.maxBytesPerBatch, 64 MB).
+#: Rows that a function gets at once; Spark itself bounds a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 ARROW_ROWS = 2000
 
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local[") and master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own[app] = tempfile.mkdtemp(prefix="tavola-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return "file://" + _own[app]
 
 
@@ -42,22 +45,34 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}"
     df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._written = path
+    return got
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for df in written:
+        _delete(df.sparkSession, df._written)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what materialize() wrote in this application; results that still read it become unusable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that materialize() wrote in this application; results that still read it become unusable."""
+    _delete(spark, f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}")
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches that are bounded in rows as well as in bytes."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, b.num_rows, ARROW_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def arrow_batches(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
