@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -37,13 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release() deletes."""
+    return f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}"
+
+
+def table_name(spark: SparkSession, name: str) -> str:
+    """A new name for a table of the session's catalogue."""
+    return f"tavola_{re.sub('[^A-Za-z0-9]', '_', spark.sparkContext.applicationId)}_{next(_numbers)}_{name}"
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there.
 
     A lost executor costs the tasks under way, not what was written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}"
+    path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
     got = spark.read.schema(df.schema).parquet(path)
     got._written = path

@@ -49,16 +49,48 @@ def test_long_texts_and_empty_tables(spark):
     _check(spark, [])
 
 
-def test_runs_hold_each_hash_once(spark):
-    runs = lines.LineRuns(spark, fanout=2)
+def _batch(spark, k):
+    return spark.range(k * 10, k * 10 + 20).selectExpr("id AS h1", "id AS h2", "1L AS n_docs", f"{k}L AS last_doc")
+
+
+def test_runs_hold_each_hash_once(spark, tmp_path):
+    runs = lines.LineRuns(spark, str(tmp_path / "state"), fanout=2)
     for k in range(5):
-        runs.add(spark.range(k * 10, k * 10 + 20).selectExpr("id AS h1", "id AS h2", "1L AS n_docs", f"{k}L AS last_doc"))
-        held = [r for level in runs._levels for r in level]
-        keys = [r.h1 for run in held for r in run.collect()]
+        runs.add(_batch(spark, k))
+        keys = [r.h1 for level in runs.levels for run in level for r in run.collect()]
         assert len(keys) == len(set(keys)) == k * 10 + 20
-        assert all(len(level) < 2 for level in runs._levels)
+        assert all(len(level) < 2 for level in runs.levels)
     got = {r.h1: (r.n_docs, r.last_doc) for r in runs.totals().collect()}
-    assert got[0] == (1, 0) and got[15] == (2, 1) and got[59] == (1, 4)
+    assert len(got) == 60 and got[0] == (1, 0) and got[15] == (2, 1) and got[59] == (1, 4)
+    assert {r.h1 for r in runs.totals(2).collect()} == set(range(10, 50))
+
+
+def test_state_is_reopened(spark, tmp_path):
+    """A state that another object wrote takes the next batch, and its folder holds only what the manifest names."""
+    path = str(tmp_path / "state")
+    for k in range(7):
+        lines.LineRuns(spark, path, buckets=4, fanout=3).add(_batch(spark, k))
+    again = lines.LineRuns(spark, path)
+    assert {r.h1: (r.n_docs, r.last_doc) for r in again.totals().collect()} == {i: (1 + (10 <= i < 70), min(i // 10, 6)) for i in range(80)}
+    state = again._state
+    assert state["buckets"] == 4 and {p.name for p in (tmp_path / "state").iterdir() if p.is_dir()} == {*state["increments"], *(t for level in state["levels"] for t in level)}
+    assert spark.catalog.listTables() == []
+
+
+def test_old_runs_are_neither_moved_nor_sorted(spark, tmp_path):
+    """The plan of a merge-anti-join reads the runs' buckets in order; the session's settings stay as they were."""
+    runs = lines.LineRuns(spark, str(tmp_path / "state"), buckets=4, fanout=4)
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    for k in range(3):
+        runs.add(_batch(spark, k))
+    assert spark.conf.get(key, None) == before
+    with lines._merging(spark):
+        stored = runs._read(runs._state["levels"][0][0])
+        plan = runs.fresh(stored)._jdf.queryExecution().executedPlan().toString()
+        totals = runs._with_increments(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort [" not in plan
+    assert totals.count("SortMergeJoin") == 2 and "Exchange" not in totals and "Sort [" not in totals
 
 
 def test_query_columns(spark, tmp_path):
