@@ -223,7 +223,14 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is told, with probability ``least_score`` or more."""
-    found = predict(docs, train(docs), tuple(docs.columns))
+    """The rows of ``docs`` whose language is told, with probability ``least_score`` or more.
+
+    Where nothing can be learnt (no row outside the held-out fold has a language and letters), only null texts
+    and texts without a letter go.  Whole texts count, however long.
+    """
+    model = train(docs)
+    if model is None:
+        return docs.where(F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(r"\p{L}")), F.lit(False)))
+    found = predict(docs, model, tuple(docs.columns))
     lang_pred, score = found.columns[-2:]
     return found.where((F.col(lang_pred) != UNDETERMINED) & (F.col(score) >= least_score)).select(*docs.columns)

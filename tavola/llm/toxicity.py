@@ -113,8 +113,9 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, bits: int = BITS) -> Model:
     """Learn from the labelled rows outside the held-out fold, about ``sample`` of each class.
 
-    Rows are drawn by a hash of doc_id, so no data are ordered or gathered beyond the sample.  One task reads the sample
-    as a stream, once an epoch; its memory is the weights.  The classes' true shares go into the bias.
+    Rows are drawn by a hash of doc_id, so no data are ordered or gathered beyond the sample.  Texts are hashed where
+    they are read; one task gets their features once and goes over them in each epoch's order, so its memory is the
+    weights and the sample's features, 16 bytes a word at most.  The classes' true shares go into the bias.
     Of repeated labels the larger holds; null labels go.  Without rows of both classes the model is all zero.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -128,20 +129,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     share = F.when(F.col("_toxic") > 0, min(1.0, sample / counts[1])).otherwise(min(1.0, sample / counts[0]))
     drawn = known.where(order <= share * float(2**62)).select(F.col("doc_id").alias("_doc"), (F.col("_toxic") > 0).cast("int").alias("y"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("_doc"))  # 2 * sample ids
-    stream = rows.select(F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"), "doc_id", "text", "y").withColumn("_order", F.xxhash64("epoch", "doc_id"))
-    stream = stream.repartition(1).sortWithinPartitions("epoch", "_order", "doc_id", "text").select("text", "y")
+    orders = F.array(*[F.xxhash64(F.lit(e), "doc_id") for e in range(epochs)])
+    hashed = pa.schema([("orders", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("y", pa.int32()), ("at", pa.binary())])
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model, seen = shared_hashes(), Ftrl(1 << bits), [0, 0]
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared_hashes()
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                model.learn(np.unique(features(words, text, bits)), y)
+            at = [np.unique(features(words, t, bits)).astype("<u4").tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.binary())], schema=hashed)
+
+    sampled = map_batches(rows.select(orders.alias("orders"), F.col("doc_id").cast("long"), "y", "text"), hash_texts, "orders array<long>, doc_id long, y int, at binary")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = Ftrl(1 << bits), [0, 0]
+        held = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        for epoch in range(epochs):
+            held.sort(key=lambda row: (row[0][epoch], row[1], row[3]))
+            for _, _, y, at in held:
+                model.learn(np.frombuffer(at, "<u4").astype(np.int64), y)
                 seen[y] += 1
+        if not held:
+            return
         at = np.flatnonzero(np.abs(model.z) > model.l1)
         got = (at.astype(np.uint32), model.weights(at).astype(np.float32), model.bias, seen)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(got)], pa.binary())], ["model"])
 
-    got = map_batches(stream, fit, "model binary").first()
+    got = map_batches(sampled.repartition(1), fit, "model binary").first()
     if got is None:  # no labelled document is there
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, bits)
     at, weight, bias, seen = pickle.loads(got[0])
