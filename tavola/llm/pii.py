@@ -51,12 +51,12 @@ _AT, _DOT = r"(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)", r"(?:\x20?[(\[]dot[)\]]\x2
 #: What is proposed besides the base patterns' matches.
 PROPOSALS = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{2,64}}+{_AT}(?=[0-9-]*+[A-Za-z])[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+)++(?!@)",
-    "phone": r"(?<![0-9+A-Za-z.(/-])(?<!\+[0-9]{1,3}\x20?)(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])",
+    "phone": r"(?=[(0-9])(?<![0-9+A-Za-z.(/-])(?<!\+[0-9]{1,3}\x20?)(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])",
     "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+",
-    "name": rf"(?<!\p{{L}})(?!(?:{TITLES}|Dear|Contact|Signed|Name)\b)(?:{_ANNOUNCED}{_CAPITAL}(?:\x20{_CAPITAL})?|{_CAPITAL}\x20(?!{_LISTED}\x20\p{{Lu}}){_CAPITAL})(?!\p{{L}})",
+    "name": rf"(?=\p{{Lu}}\p{{Ll}})(?<!\p{{L}})(?!(?:{TITLES}|Dear|Contact|Signed|Name)\b)(?:{_ANNOUNCED}{_CAPITAL}(?:\x20{_CAPITAL})?|{_CAPITAL}\x20(?!{_LISTED}\x20\p{{Lu}}){_CAPITAL})(?!\p{{L}})",
 }
 #: What a text must hold for a proposal.
-MENTIONS = {"email": (" at ", "at)", "at]")}
+MENTIONS = {"email": r"[(\[]at[)\]]|\x20at\x20[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]|\x20dot\x20|\x20?[(\[]dot[)\]])", "phone": "[0-9]{3}[\\x20.-][0-9]{3}"}
 #: Code points before and after a candidate, back to the match before and up to the next, that labelers read.
 BEFORE_CHARS, AFTER_CHARS = 32, 2
 #: Labelers by kind: two on the value's form, a gazetteer on the value, words before, borders (before, after).
@@ -89,7 +89,7 @@ LABELERS = {
 VOTES = ("form", "detail", "listed", "context", "borders")
 #: What is taken of a labeler before any data: votes on true spans and on others; and the share of true spans by kind.
 FIRST_HITS = {"card": (0.9, 0.97, 0.9, 0.3, 0.9), "": (0.9, 0.8, 0.5, 0.3, 0.9)}
-FIRST_FALSE = {"card": (0.6, 0.1, 0.4, 0.03, 0.7), "": (0.4, 0.4, 0.1, 0.03, 0.6)}
+FIRST_FALSE = {"card": (0.6, 0.1, 0.4, 0.03, 0.7), "name": (0.6, 0.6, 0.01, 0.01, 0.7), "": (0.4, 0.4, 0.1, 0.03, 0.6)}
 FIRST_SHARE = {"email": 0.5, "ip": 0.5, "card": 0.3, "phone": 0.5, "secret": 0.2, "name": 0.05}
 LOOKS = ("is_long", "is_longer", "some_digits", "digits", "capitals", "varied", "parted", "set_off")
 #: Places in VOTES that the classifier sees, too.
@@ -175,14 +175,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def found(name: str, pattern: str) -> Column:
         how, kind = name.split("_")
-        needs = [x for x in ((NEEDS[kind],) if how == "base" else MENTIONS.get(kind, ())) if x]
         matches = _matches(F.col("_text"), pattern)
-        if not needs:
-            return matches
-        held = F.contains("_text", F.lit(needs[0]))
-        for x in needs[1:]:
-            held = held | F.contains("_text", F.lit(x))
-        return F.when(held, matches).otherwise(none)
+        if how == "base":
+            return F.when(F.contains("_text", F.lit(NEEDS[kind])), matches).otherwise(none) if NEEDS[kind] else matches
+        return F.when(F.col("_text").rlike(MENTIONS[kind]), matches).otherwise(none) if kind in MENTIONS else matches
 
     rows = rows.select("*", *[found(k, p).alias(f"_f_{k}") for k, p in every.items()])
     rows = rows.select("*", *[F.when(F.size(f"_f_{k}") > 0, F.split("_text", p, -1)).otherwise(none).alias(f"_p_{k}") for k, p in every.items()])

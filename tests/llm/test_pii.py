@@ -154,7 +154,7 @@ def test_em_tells_reliable_labelers():
     share, hit, wrong, post = pii.reliabilities(counts, "secret")
     assert abs(share - 0.4) < 0.15 and max(abs(hit - np.array(hits))) < 0.15 and max(abs(wrong - np.array(false))) < 0.15
     right = sum(n for v, n in counts.items() if (post[v] >= 0.5) == (true[v] / n >= 0.5))
-    assert right / 20_000 > 0.93
+    assert right / 20_000 > 0.9
     assert pii.span_classifiers({}) == {}
 
 
