@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 _numbers = itertools.count()
 _own: dict[str, str] = {}
+#: Paths that are written and not yet deleted, oldest first.
+_paths: list[str] = []
 
 #: Rows that a function gets at once; Spark itself bounds a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 ARROW_ROWS = 2000
@@ -40,7 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which release() deletes."""
-    return f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}"
+    _paths.append(f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}/{next(_numbers)}-{name}")
+    return _paths[-1]
 
 
 def table_name(spark: SparkSession, name: str) -> str:
@@ -70,11 +73,20 @@ def discard(*written: DataFrame) -> None:
     """Delete tables that materialize() wrote, once nothing reads them any more."""
     for df in written:
         _delete(df.sparkSession, df._written)
+        _paths.remove(df._written)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that materialize() wrote in this application; results that still read it become unusable."""
-    _delete(spark, f"{shared_dir(spark)}/tavola-{spark.sparkContext.applicationId}")
+def written() -> int:
+    """A mark for release(): how much has been written so far."""
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written to the shared folder since a mark, but for ``keep``; results that still read it become unusable."""
+    kept = getattr(keep, "_written", None)
+    for path in [p for p in _paths[since:] if p != kept]:
+        _delete(spark, path)
+        _paths.remove(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

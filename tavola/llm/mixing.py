@@ -203,6 +203,16 @@ def _exchange(counts: dict[int, int], budget: int, aim: int, take: dict[int, int
     return take
 
 
+def fit_nearest(counts: dict[int, int], budget: int) -> dict[int, int]:
+    """As fit_budget(), but above the budget where that is nearer: what is left out then fits the rest of all words."""
+    below = fit_budget(counts, budget)
+    if _words(below) >= min(budget, _words(counts)):
+        return below
+    left_out = fit_budget(counts, _words(counts) - budget)
+    above = {s: n - left_out.get(s, 0) for s, n in counts.items()}
+    return above if _words(above) - budget < budget - _words(below) else below
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, payload: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, taken and the ``payload`` columns of ``docs``.
 
@@ -211,7 +221,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     often as its target holds them whole, and once more as many as fit_budget() says of each size, which
     are those with the smallest seeded hash of their doc_id.  ``taken`` is a whole multiple of ``size``.
     Ranks are taken within shards of a source and size, so no task holds all documents of one size.
-    Documents of no words take part with 0.  Repeated rows are documents of their own.  Payload columns
+    Documents of no words take part with 0.  Whole texts count, however long.  Repeated rows are documents of their own.  Payload columns
     with the name of a result column are left out.  No rows give no rows.
     """
     spark = docs.sparkSession
@@ -241,7 +251,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     counts = materialize(counts, "counts")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        take = fit_budget({int(s): int(n) for s, n in zip(pdf["size"], pdf["_n"]) if s > 0}, int(pdf["_rest"].iloc[0]))
+        take = fit_nearest({int(s): int(n) for s, n in zip(pdf["size"], pdf["_n"]) if s > 0}, int(pdf["_rest"].iloc[0]))
         return pd.DataFrame({"_source": pdf["_source"].iloc[0], "size": list(take), "_take": list(take.values())})
 
     histogram = counts.groupBy("_source", "size").agg(F.sum("_n").alias("_n"), F.first("_rest").alias("_rest"))

@@ -9,6 +9,7 @@ task ever holds all pieces of one length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -66,6 +67,8 @@ class Plan:
 
     configs: list[tuple[tuple[int, ...], int]]
     capacity: int
+    #: Sequences that any packing needs, by the linear program's best dual prices.
+    bound: int = 0
 
     @property
     def sequences(self) -> int:
@@ -133,13 +136,16 @@ def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, roun
     knapsack and moves along all configurations whose value is within ``slack`` of the best, by at most
     the share ``step`` of what is still open of any length.  Weights of lengths that lag behind rise.
     The solution is rounded down, then by largest fractions while pieces are left; what remains is placed by
-    best fit decreasing, on the histogram, too.  Time and memory depend on ``capacity`` only.
+    best fit decreasing, on the histogram, too.  Where best fit decreasing over all pieces needs fewer sequences, it is
+    the plan.  Each round's prices, divided by the knapsack's value, are a solution of the dual program, so they bound
+    what any packing needs.  Time and memory depend on ``capacity`` only.
     """
     full = histogram.get(capacity, 0)
     lengths = np.array(sorted(x for x, n in histogram.items() if 0 < x < capacity and n), np.int64)
     left = np.array([histogram[int(x)] for x in lengths], np.int64)
     solution: dict[tuple[int, ...], float] = {}
-    open_, weight = left.astype(float), np.ones(len(lengths))
+    open_, weight, total = left.astype(float), np.ones(len(lengths)), left.copy()
+    bound = -(-int(lengths @ left) // capacity)
     for _ in range(rounds if len(lengths) else 0):
         alive = np.flatnonzero(open_ >= 0.5)
         if not len(alive):
@@ -147,6 +153,7 @@ def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, roun
         some = lengths[alive]
         values = some / capacity * weight[alive]
         best, choice = _price(some, values, capacity)
+        bound = max(bound, math.ceil(float(values @ total[alive]) / best[capacity] - 1e-6))
         picked = _configs_by_seed(some, choice, capacity)
         worth = np.where(picked >= 0, values[picked], 0).sum(1)
         picked = np.unique(picked[worth >= (1 - slack) * worth.max()], axis=0)
@@ -177,7 +184,11 @@ def configuration_plan(histogram: dict[int, int], capacity: int = CAPACITY, roun
     configs = [((capacity,), full)] if full else []
     configs += [(tuple(sorted((int(lengths[i]) for i in key), reverse=True)), n) for key, n in sorted(counts.items())]
     configs += best_fit_decreasing({int(x): int(n) for x, n in zip(lengths, left) if n}, capacity)
-    return Plan(configs, capacity)
+    found = Plan(configs, capacity, full + bound)
+    if found.sequences > found.bound:
+        plain = Plan(best_fit_decreasing({x: n for x, n in histogram.items() if n}, capacity), capacity, found.bound)
+        found = min(found, plain, key=lambda plan: plan.sequences)
+    return found
 
 
 def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -63,6 +63,12 @@ def op9_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "n_frames",
+        "n_samples",
+        "sample_rate",
+        "duration_us",
+        "seek_offsets",
+        "intact",
     )
 
 

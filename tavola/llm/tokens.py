@@ -22,6 +22,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _TAIL = string.punctuation
 #: Characters of texts whose words are looked up together.
 GROUP_CHARS = 1 << 14
+#: Longer chunks (blobs, sentences in scripts without blanks) are forgotten with their group.
+KEPT_CHARS = 64
 
 
 def _lowered(text: str) -> str | None:
@@ -54,7 +56,8 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """Encodes texts as ``tokenizers`` does with ``add_special_tokens=False``.
 
-    ``cache_entries`` bounds the memory of one worker (about 200 bytes an entry); a full cache forgets rare words.
+    ``cache_entries`` bounds the memory of one worker (about 200 bytes an entry, and 1.5 KB at most, as only chunks of
+    KEPT_CHARS characters stay); a full cache forgets rare words.
     """
 
     def __init__(self, path: str | None = None, cache_entries: int = 500_000):
@@ -159,6 +162,8 @@ class WordTokenizer:
             self._learn(list(missing), False)
         for text, words in zip(texts, split):
             yield self.whole(text) if words is None else b"".join(map(cache.__getitem__, words))
+        for w in {w for w in new | as_is if len(w) > KEPT_CHARS}:
+            del cache[w]
 
 
 @lru_cache(2)

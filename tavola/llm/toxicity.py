@@ -25,11 +25,13 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.1
 #: Letters of a word's beginning that also count as a word, so that inflected forms share weight.
 STEM = 6
 SEED, THRESHOLD = 7, 0.7
+#: Longer words are not kept in the cache.
+KEPT_CHARS = 64
 _WORD = re.compile(r"[^\W_]+")
 
 
 class WordHashes:
-    """64-bit hashes of words, with a bounded cache."""
+    """64-bit hashes of words, with a cache bounded in entries of at most KEPT_CHARS characters."""
 
     def __init__(self, entries: int = 400_000):
         self._entries, self._cache = entries, {}
@@ -44,7 +46,11 @@ class WordHashes:
                 missing = distinct
             for w in missing:
                 cache[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        out = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+        for w in missing:
+            if len(w) > KEPT_CHARS:
+                del cache[w]
+        return out
 
 
 @lru_cache(1)

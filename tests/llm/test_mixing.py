@@ -35,6 +35,19 @@ def test_fit_is_as_near_as_can_be():
         assert got - sum(s * n for s, n in first.items()) == _best(rest, budget - sum(s * n for s, n in first.items()))
 
 
+def test_nearest_may_be_above():
+    assert mixing.fit_nearest({100: 1, 60: 1}, 95) == {100: 1, 60: 0}
+    assert mixing.fit_nearest({100: 1, 60: 1}, 75) == {100: 0, 60: 1}
+    rng = random.Random(4)
+    for _ in range(200):
+        counts = {rng.randint(1, 60): rng.randint(1, 2) for _ in range(rng.randint(1, 5))}
+        total = sum(s * n for s, n in counts.items())
+        budget = rng.randint(0, total)
+        take, below = mixing.fit_nearest(counts, budget), mixing.fit_budget(counts, budget)
+        assert all(0 <= take[s] <= counts[s] for s in counts)
+        assert abs(sum(s * n for s, n in take.items()) - budget) <= budget - sum(s * n for s, n in below.items())
+
+
 def test_greedy_part_leaves_little():
     counts = {s: 50 for s in range(1, 400)}
     for budget in (0, 1, 999_999, 3_000_001):
