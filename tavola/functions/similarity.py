@@ -112,6 +112,33 @@ def name_score(a: Column, b: Column, shortcut: float = 0.70) -> Column:
     return _vectorised(lambda x, y: name_score_of(x, y, shortcut))(a, b)
 
 
+def letter_bits(text: Column, words_: Column) -> Column:
+    """(low, high, over, n, repeats): a text's letters as a unary count of four bits for each of 32 classes of characters.
+
+    ``over`` counts the letters beyond four of a class.  The common bits of two texts, with the smaller ``over``, are never
+    fewer than the letters of their longest common subsequence.  ``repeats`` tells whether a word repeats.
+    """
+    classes = F.array_sort(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % 32))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).alias("over"))
+
+    def add(a: Column, k: Column) -> Column:
+        run = F.when(k == a["last"], a["run"] + 1).otherwise(0)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (k % 16) * 4 + run)
+        low = F.when((run < 4) & (k < 16), a["low"].bitwiseOR(bit)).otherwise(a["low"])
+        high = F.when((run < 4) & (k >= 16), a["high"].bitwiseOR(bit)).otherwise(a["high"])
+        return F.struct(k.alias("last"), run.alias("run"), low.alias("low"), high.alias("high"), (a["over"] + (run >= 4).cast("int")).alias("over"))
+
+    more = {"n": F.length(text), "repeats": F.size(F.array_distinct(words_)) < F.size(words_)}
+    return F.aggregate(classes, start, add, lambda a: F.struct(a["low"].alias("low"), a["high"].alias("high"), a["over"].alias("over"), *[v.alias(k) for k, v in more.items()]))
+
+
+def name_bound(a: Column, b: Column, a_words: Column, b_words: Column) -> Column:
+    """What name_score() can be at most, from letter_bits() and the names' words: 1 where a word is shared or repeats."""
+    common = F.bit_count(a["low"].bitwiseAND(b["low"])) + F.bit_count(a["high"].bitwiseAND(b["high"])) + F.least(a["over"], b["over"])
+    sets = a["repeats"] | b["repeats"] | F.arrays_overlap(a_words, b_words)
+    return F.when(sets, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2.0 * common / F.greatest(a["n"] + b["n"], F.lit(1))))
+
+
 def lcs_native(a: Column, b: Column) -> Column:
     """Longest common subsequence as a dynamic programme in built-in functions."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")

@@ -9,32 +9,57 @@ from pyspark.sql import functions as F
 
 from tavola.config import Settings
 from tavola.functions.geo import geo_score
-from tavola.functions.similarity import address_score, address_tokens, name_score, total_score
-from tavola.functions.text import clean_name, filled
-from tavola.operators.spatial import band_join, unlocated_pairs
+from tavola.functions.similarity import address_score, address_tokens, letter_bits, name_bound, name_score, total_score
+from tavola.functions.text import clean_name, filled, words
+from tavola.operators.spatial import band_join, join_cell, unlocated_pairs
+
+#: Left rows of one cell that meet one copy of its right rows, about; and the most copies.
+CELL_ROWS, MAX_SALTS = 20_000, 256
 
 
 def prepared(venues: DataFrame, side: str) -> DataFrame:
-    """id, ordinal, name, address, lat, lon with prefix ``side``_, the cleaned name and the address's tokens, once a venue."""
+    """id, ordinal, name, address, lat, lon with prefix ``side``_, the cleaned name, its words and letters and the address's tokens, once a venue."""
     named = venues.where(F.coalesce(F.col("name"), F.lit("")) != "")
-    return named.select(
+    cleaned = named.select(
         *[F.col(c).alias(f"{side}_{c}") for c in ("id", "ordinal", "lat", "lon")],
         clean_name(F.col("name")).alias(f"{side}_name"),
         filled(F.col("address")).alias(f"{side}_address"),
         address_tokens(F.col("address")).alias(f"{side}_tokens"),
     )
+    worded = cleaned.withColumn(f"{side}_words", words(F.col(f"{side}_name")))
+    return worded.withColumn(f"{side}_letters", letter_bits(F.col(f"{side}_name"), F.col(f"{side}_words")))
 
 
-def scored(pairs: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs with name_score, geo_score, address_score and score."""
-    names = name_score(F.col("l_name"), F.col("r_name"), settings.name_shortcut)
+def placed(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs with geo_score and address_score."""
     geo = geo_score(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"), settings.lambda_geo)
     both = F.col("l_address").isNotNull() & F.col("r_address").isNotNull()
-    address = F.when(both, address_score(F.col("l_tokens"), F.col("r_tokens")))
-    out = pairs.withColumns({"geo_score": geo, "address_score": address, "name_score": names})
+    return pairs.withColumns({"geo_score": geo, "address_score": F.when(both, address_score(F.col("l_tokens"), F.col("r_tokens")))})
+
+
+def able(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs that can reach the threshold, by what their places, house numbers and letters allow; names are not compared yet."""
+    name = name_bound(F.col("l_letters"), F.col("r_letters"), F.col("l_words"), F.col("r_words"))
+    geo = geo_score(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"), settings.lambda_geo)
+    # Without a common number an address scores 0.3 at most.
+    least = settings.weak_boost if settings.weak_address < 0.3 else 0.0
+    boost = F.when(F.arrays_overlap("l_tokens.numbers", "r_tokens.numbers"), max(settings.strong_boost, settings.weak_boost)).otherwise(least)
+    return pairs.where(settings.weight_name * name + settings.weight_geo * geo + boost >= settings.match_threshold - 1e-9)
+
+
+def scored(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of placed() with name_score and score."""
+    out = pairs.withColumn("name_score", name_score(F.col("l_name"), F.col("r_name"), settings.name_shortcut))
     return out.withColumn("score", total_score(F.col("name_score"), F.col("geo_score"), F.col("address_score"), settings))
 
 
+def salts_for(left: DataFrame, settings: Settings, rows: int = CELL_ROWS) -> int:
+    """How many parts the most common cell of the left side is cut into, so that none has more than about ``rows`` rows."""
+    cells = left.groupBy(join_cell(F.col("lat"), settings).alias("i"), join_cell(F.col("lon"), settings).alias("j")).count()
+    most = cells.where("i IS NOT NULL AND j IS NOT NULL").agg(F.max("count")).first()[0] or 0
+    return max(1, min(MAX_SALTS, -(-int(most) // rows)))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, settings: Settings, salts: int = 1) -> DataFrame:
     """Pairs that can reach the threshold, of prepared() sides.
 
@@ -74,7 +99,7 @@ def one_to_one(best: DataFrame) -> DataFrame:
 def recheck(left: DataFrame, right: DataFrame, old: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Old matches (l_id, r_id) that still reach the threshold, without a look at others; and the left venues to search."""
     known = old.groupBy("l_id").agg(F.min("r_id").alias("r_id"))
-    kept = scored(left.join(known, "l_id").join(right, "r_id").withColumn("cell_rank", F.lit(0)), settings)
+    kept = scored(placed(left.join(known, "l_id").join(right, "r_id").withColumn("cell_rank", F.lit(0)), settings), settings)
     kept = kept.where(F.col("score") >= settings.match_threshold)
     return kept, left.join(kept.select("l_id"), "l_id", "left_anti")
 
@@ -87,17 +112,20 @@ class Resolution:
     stats: DataFrame
 
 
-def resolve(left: DataFrame, right: DataFrame, settings: Settings | None = None, old: DataFrame | None = None, salts: int = 1) -> Resolution:
+def resolve(left: DataFrame, right: DataFrame, settings: Settings | None = None, old: DataFrame | None = None, salts: int | None = None) -> Resolution:
     """Match venues (id, ordinal, name, address, lat, lon) of two sources.
 
-    ``old`` matches are checked first.  Statistics are of best matches, before they are made one to one.
+    ``old`` matches are checked first.  Names are compared only in pairs whose places, addresses and letters let them
+    reach the threshold.  ``salts`` spreads common cells; without it the cells' counts choose.  Statistics are of best
+    matches, before they are made one to one.
     """
     s = settings or Settings()
     a, b = prepared(left, "l"), prepared(right, "r")
     kept, todo = recheck(a, b, old, s) if old is not None else (None, a)
+    pairs = able(candidate_pairs(todo, b, s, salts or salts_for(left, s)), s)
     # Pairs are dealt by left venue before they are scored: ranking needs that anyway, and it evens out dense cells.
-    pairs = candidate_pairs(todo, b, s, salts).repartition("l_id")
-    best = best_matches(scored(pairs, s), s.match_threshold)
+    kept_columns = [c for c in pairs.columns if c[2:] not in ("words", "letters")]
+    best = best_matches(scored(placed(pairs.select(kept_columns).repartition("l_id"), s), s), s.match_threshold)
     if kept is not None:
         best = kept.select(best.columns).unionByName(best)
     matches = one_to_one(best)
