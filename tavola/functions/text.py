@@ -109,6 +109,9 @@ def is_section_header(line: Column) -> Column:
 
 # Opening hours, delivery and tax notes at the foot of a menu.
 FOOTER = r"(?iu)pedido\s*m[níi]*nimo|horario|tel[eé]fono|abierto|domingo|s[bá]bado|viernes|lunes|martes|mi[eé]rcoles|reparto|recoger|€\s*\d+[,.]\d{2}\s*(iva|tva|vat)"
+# Web addresses, prices run into letters, and letters that no word has in a row.
+WEB, MANGLED_PRICE = r"(?i)www\.|\.com|\.es\b", r"^\d+[,.]\d*[a-zA-Z]"
+CONSONANTS = r"[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{4,}"
 #: Share limits of the garbage test.
 MAX_DIGITS, MAX_SYMBOLS, MIN_LETTERS = 0.60, 0.40, 0.20
 
@@ -124,9 +127,9 @@ def is_garbage(text: Column) -> Column:
     after_price = F.trim(F.regexp_extract(text, r"\d+\s*€(.*)$", 1))
     # Any rule will do, so those that are cheap or often hold come first and those over words and letters last.
     rules = [
-        text.rlike(r"[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{4,}"),
-        text.rlike(r"^\d+[,.]\d*[a-zA-Z]"),
-        text.rlike(r"(?i)www\.|\.com|\.es\b"),
+        text.rlike(CONSONANTS),
+        text.rlike(MANGLED_PRICE),
+        text.rlike(WEB),
         text.rlike(FOOTER),
         share(digits) > MAX_DIGITS,
         share(n - digits - letters) > MAX_SYMBOLS,

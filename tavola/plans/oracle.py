@@ -202,7 +202,7 @@ SELECT doc_id, at, CASE WHEN n < 3 THEN true ELSE
   OR (kinds <= 3 AND n > 6 AND lt / n < 0.5) OR (n > 3 AND n < 6 AND dg > 0 AND lt > 0 AND NOT regexp_matches(line, '\s'))
   OR (contains(line, '€') AND dg / n > 0.3 AND lt < 3) OR (len(ws) >= 2 AND len(list_distinct(ws)) = 1) OR (len(ws) >= 3 AND len(list_distinct(ws)) < len(ws))
   OR (regexp_matches(line, '\d+\s*€') AND rest <> '' AND len(rest) < 12 AND lt / n < 0.65)
-  OR regexp_matches(line, '^\d+[,.]\d*[a-zA-Z]') OR regexp_matches(line, '[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z]{{4,}}') END AS garbage
+  OR regexp_matches(line, '^\d+[,.]\d*[a-zA-Z]') OR regexp_matches(line, '[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]{{4,}}') END AS garbage
 FROM m
 """
 

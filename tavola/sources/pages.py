@@ -5,108 +5,20 @@ Pages come as a table (url, html); fetching is not part of the engine.
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.functions.prices import parse_price
+from tavola.functions.text import first_filled
 from tavola.functions.urls import venue_id
+from tavola.sources import jsonld
 
-MENU_TYPE = "array<struct<name:string,items:array<struct<name:string,description:string,price:double>>>>"
-PAGE_TYPE = (
-    "struct<name:string,first_line:string,city:string,postal_code:string,coordinates:array<double>,star_rating:double,"
-    f"rating_count:bigint,cuisines:array<string>,logo_url:string,objects:bigint,menus:{MENU_TYPE}>"
-)
-_SCRIPT = re.compile(r"<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>", re.I | re.S)
-
-
-def _number(x, default: float = 0.0) -> float:
-    try:
-        return float(x)
-    except (TypeError, ValueError):
-        return default
-
-
-def _as_list(x) -> list:
-    return x if isinstance(x, list) else [x] if isinstance(x, dict) else []
-
-
-def jsonld_objects(html: str | None) -> list[dict]:
-    """All objects in a page's JSON-LD scripts, with @graph members before their container.
-
-    A script that can't be parsed ends the search; what came before it stays.
-    """
-    out: list[dict] = []
-    for script in _SCRIPT.findall(html or ""):
-        try:
-            data = json.loads(script)
-        except ValueError:
-            break
-        if isinstance(data, dict):
-            graph = data.pop("@graph", None)
-            out += [x for x in (graph if isinstance(graph, list) else []) if isinstance(x, dict)]
-            out.append(data)
-        elif isinstance(data, list):
-            out += [x for x in data if isinstance(x, dict)]
-    return out
-
-
-def _has_type(entry: dict, *names: str) -> bool:
-    kind = entry.get("@type", "")
-    return any(n in kind if isinstance(kind, list) else n == kind for n in names)
-
-
-def _ld_price(item: dict) -> float:
-    offers = item.get("offers") or {}
-    offer = (offers[0] if offers else {}) if isinstance(offers, list) else offers
-    return _number(offer.get("price") or 0) if isinstance(offer, dict) else 0.0
-
-
-def jsonld_menu(objects: list[dict]) -> list[dict]:
-    """Sections with items, of all menus in the objects; items without a name and sections without items go."""
-    menus: list[dict] = []
-    for entry in objects:
-        if _has_type(entry, "Menu"):
-            menus.append(entry)
-        else:
-            subs = entry.get("subMenus")
-            menus += [m for m in _as_list(entry.get("hasMenu")) + (subs if isinstance(subs, list) else []) if isinstance(m, dict)]
-    out = []
-    for section in (s for m in menus for s in _as_list(m.get("hasMenuSection") or m.get("menuSection")) if isinstance(s, dict)):
-        listed = [i for i in _as_list(section.get("hasMenuItem") or section.get("menuItem")) if isinstance(i, dict) and i.get("name")]
-        if listed:
-            items = [{"name": str(i["name"]), "description": str(i.get("description", "")), "price": _ld_price(i)} for i in listed]
-            out.append({"name": str(section.get("name", "Menu")), "items": items})
-    return out
-
-
-def jsonld_venue(objects: list[dict]) -> dict:
-    """Fields of the restaurants among the objects, each from the first that has it."""
-    out: dict = {}
-    for entry in (o for o in objects if _has_type(o, "Restaurant", "FoodEstablishment")):
-        address, rating, cuisines = entry.get("address"), entry.get("aggregateRating"), entry.get("servesCuisine")
-        logo = entry.get("logo") or entry.get("image")
-        if out.get("name") is None and entry.get("name") is not None:
-            out["name"] = str(entry["name"])
-        if isinstance(address, dict) and "coordinates" not in out:
-            geo = entry.get("geo") or address.get("geo") or {}
-            try:
-                at = [float(geo.get("longitude", 0)), float(geo.get("latitude", 0))] if isinstance(geo, dict) else [0.0, 0.0]
-            except (TypeError, ValueError):
-                at = [0.0, 0.0]
-            names = (("first_line", "streetAddress"), ("city", "addressLocality"), ("postal_code", "postalCode"))
-            out |= {k: str(address.get(n, "")) for k, n in names} | {"coordinates": at}
-        if isinstance(rating, dict) and "star_rating" not in out:
-            out |= {"star_rating": _number(rating.get("ratingValue", 0)), "rating_count": int(_number(rating.get("reviewCount") or rating.get("ratingCount", 0)))}
-        if cuisines and "cuisines" not in out:
-            out["cuisines"] = [cuisines] if isinstance(cuisines, str) else [c for c in cuisines if isinstance(c, str)]
-        if logo and "logo_url" not in out:
-            out["logo_url"] = logo if isinstance(logo, str) else json.dumps(logo)
-    return out
+#: What elements say of a page: prices as they are written.
+ELEMENTS_TYPE = "struct<name:string,first_line:string,menus:array<struct<name:string,items:array<struct<name:string,description:string,price:string>>>>>"
 
 
 # --- elements --------------------------------------------------------------------------------------------
@@ -211,25 +123,11 @@ def _all(e: Element, marks: list) -> list[Element]:
     return [x for x in e.walk() if any(mark(x) for mark in marks)]
 
 
-def price_of(text: str, locale: str = "auto") -> float:
-    """As functions.prices.parse_price(), for text inside pages."""
-    clean = re.sub("[€$£]", "", text).strip()
-    dots, commas = clean.count("."), clean.count(",")
-    if locale == "eu" or locale == "auto" and (commas == 1 and not dots or dots and commas and clean.rfind(",") > clean.rfind(".")):
-        clean = clean.replace(".", "").replace(",", ".")
-    elif locale == "us" or commas:
-        clean = clean.replace(",", "")
-    elif dots > 1:
-        clean = clean.replace(".", "")
-    found = re.search(r"\d+(?:\.\d+)?", clean)
-    return float(found[0]) if found else 0.0
-
-
 def _item(e: Element, names: list, texts: list, prices: list) -> dict | None:
     name, text, price = (_first(e, m) for m in (names, texts, prices))
     if name is None:
         return None
-    return {"name": name.text(), "description": text.text() if text else "", "price": price_of(price.text()) if price else 0.0}
+    return {"name": name.text(), "description": text.text() if text else "", "price": price.text() if price else ""}
 
 
 def element_menu(root: Element) -> list[dict]:
@@ -268,33 +166,42 @@ def element_menu(root: Element) -> list[dict]:
     return out
 
 
-def page_venue(html: str | None) -> dict:
-    """What a page says of its venue: JSON-LD where it does, elements where not."""
-    objects = jsonld_objects(html)
-    out = {"name": None, "first_line": "", "city": "", "postal_code": "", "coordinates": [0.0, 0.0], "star_rating": 0.0, "rating_count": 0, "cuisines": [], "logo_url": None}
-    out |= jsonld_venue(objects) | {"objects": len(objects)}
-    menus = jsonld_menu(objects)
-    if not menus or not out["name"] or not out["first_line"]:
-        root = parse_html(html)
-        if not out["name"]:
-            named = (e for mark in VENUE_MARKS for e in [_first(root, [mark])] if e is not None and e.text())
-            out["name"] = next((e.text() for e in named), "Unknown Restaurant")
-        if not out["first_line"]:
-            placed = (e for mark in ADDRESS_MARKS for e in [_first(root, [mark])] if e is not None and e.text())
-            out["first_line"] = next((e.text() for e in placed), "")
-        menus = menus or element_menu(root)
-    return out | {"menus": menus}
-
-
-def _page(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def page_elements(html: str) -> dict:
+    """What a page's elements say of its venue and menus."""
+    root = parse_html(html)
+
+    def said(marks: list) -> str | None:
+        return next((e.text() for mark in marks for e in [_first(root, [mark])] if e is not None and e.text()), None)
+
+    return {"name": said(VENUE_MARKS), "first_line": said(ADDRESS_MARKS), "menus": element_menu(root)}
+
+
+def _elements(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in html:
-        yield pd.DataFrame([page_venue(x) for x in batch])
+        yield pd.DataFrame([page_elements(x) if x is not None else {"name": None, "first_line": None, "menus": []} for x in batch], columns=["name", "first_line", "menus"])
 
 
 def scrape_pages(pages: DataFrame) -> DataFrame:
-    """venue_id, url and what each page (url, html) says of its venue and menus."""
-    found = pages.select(venue_id(F.col("url")).alias("venue_id"), "url", F.pandas_udf(_page, PAGE_TYPE)("html").alias("p"))
-    return found.select("venue_id", "url", "p.*")
+    """venue_id, url and what each page (url, html) says of its venue and menus.
+
+    JSON-LD is read by expressions; elements are looked at only in pages whose JSON-LD lacks a name, an address or menus.
+    """
+    read = pages.select("url", F.coalesce("html", F.lit("")).alias("html"), jsonld.page_objects(F.col("html")).alias("_objects"))
+    fields = jsonld.venue_fields(F.col("_objects"))
+    read = read.select("url", "html", F.size("_objects").cast("long").alias("objects"), *[c.alias(k) for k, c in fields.items()], jsonld.menu_sections(F.col("_objects")).alias("menus"))
+    lacking = first_filled("name").isNull() | first_filled("first_line").isNull() | (F.size("menus") == 0)
+    read = read.withColumn("_e", F.pandas_udf(_elements, ELEMENTS_TYPE)(F.when(lacking, F.col("html"))))
+
+    def priced(section: Column) -> Column:
+        items = F.transform(section["items"], lambda i: F.struct(i["name"].alias("name"), i["description"].alias("description"), parse_price(i["price"]).alias("price")))
+        return F.struct(section["name"].alias("name"), items.alias("items"))
+
+    menus = F.when(F.size("menus") > 0, F.col("menus")).otherwise(F.transform("_e.menus", priced))
+    return read.select(
+        venue_id(F.col("url")).alias("venue_id"), "url", F.coalesce(first_filled("name"), "_e.name", F.lit("Unknown Restaurant")).alias("name"), F.coalesce(first_filled("first_line"), "_e.first_line", F.lit("")).alias("first_line"),
+        *[F.coalesce(k, F.lit("")).alias(k) for k in ("city", "postal_code")], F.coalesce("coordinates", F.array(F.lit(0.0), F.lit(0.0))).alias("coordinates"), F.coalesce("star_rating", F.lit(0.0)).alias("star_rating"),
+        F.coalesce("rating_count", F.lit(0)).cast("long").alias("rating_count"), F.coalesce("cuisines", F.expr("cast(array() as array<string>)")).alias("cuisines"), "logo_url", "objects", menus.alias("menus"),
+    )
 
 
 def scraped_items(venues: DataFrame) -> DataFrame:
