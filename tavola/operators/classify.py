@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tavola.config import ALIASES, Settings
 from tavola.functions.similarity import indel_ratio
 from tavola.functions.text import ascii_fold, item_words, words
 
+log = logging.getLogger(__name__)
 _STRIP = ".,!?()[]{}'\"-"
 #: Distinct taxonomy words up to which they are sent to all executors; more are met through shared bigrams.
 BROADCAST_WORDS = 20_000
@@ -104,9 +108,18 @@ def unclassified(items: DataFrame, classifications: DataFrame) -> DataFrame:
     return items.join(classifications.select("item_id"), "item_id", "left_anti")
 
 
-def run(items: DataFrame, taxonomy: DataFrame, done: DataFrame | None = None, settings: Settings | None = None, force: bool = False) -> DataFrame:
-    """New classifications at or above the cut-off, of the items not ``done`` yet; of all items on ``force``."""
+def run(items: DataFrame, taxonomy: DataFrame, done: DataFrame | None = None, settings: Settings | None = None, force: bool = False, clear: Callable[[], None] | None = None) -> DataFrame:
+    """New classifications at or above the cut-off, of the items not ``done`` yet; of all items on ``force``.
+
+    ``clear`` deletes the stored classifications on ``force``; where it fails, the run goes on with the items not done.
+    """
     s = settings or Settings()
+    if force and clear is not None:
+        try:
+            clear()
+        except Exception as error:  # whatever a store raises
+            log.warning("classifications were not cleared, only new items are classified: %s", error)
+            force = False
     todo = unclassified(items, done) if done is not None and not force else items
     return classify(todo, taxonomy, s).where(F.col("confidence") >= s.classify_cutoff)
 

@@ -115,7 +115,7 @@ def write_json_array(rows: DataFrame, path: str, limit: int = 1_000_000) -> None
     got = [r[0] for r in rows.limit(limit + 1).select(F.to_json(F.struct(*rows.columns))).collect()]
     if len(got) > limit:
         raise ValueError(f"more than {limit} rows")
-    _write_text(rows.sparkSession, path, json.dumps([json.loads(x) for x in got], indent=4, ensure_ascii=False))
+    write_text(rows.sparkSession, path, json.dumps([json.loads(x) for x in got], indent=4, ensure_ascii=False))
 
 
 def write_unmatched(ids: DataFrame, path: str, limit: int = 1_000_000) -> None:
@@ -124,10 +124,10 @@ def write_unmatched(ids: DataFrame, path: str, limit: int = 1_000_000) -> None:
     if len(got) > limit:
         raise ValueError(f"more than {limit} rows")
     if got:
-        _write_text(ids.sparkSession, path, json.dumps({"ids": got, "count": len(got)}, indent=4))
+        write_text(ids.sparkSession, path, json.dumps({"ids": got, "count": len(got)}, indent=4))
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """By Hadoop's file system, so any path that Spark can write will do."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
@@ -135,7 +135,49 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def write_by_menu(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """One folder for each menu_id, as JSON or CSV with a header."""
-    writer = rows.write.mode("overwrite").partitionBy("menu_id")
+def write_by_menu(rows: DataFrame, path: str, kind: str = "json", key: str = "menu_id") -> None:
+    """One folder for each value of ``key``, as JSON or CSV with a header."""
+    writer = rows.write.mode("overwrite").partitionBy(key)
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
+
+
+#: The columns of a menu's differences as CSV, and what they are called in menu_diff().
+DIFF_COLUMNS = {
+    "extracted_name": "name", "extracted_price": "price", "extracted_description": "description", "db_name": "db_name", "db_price": "db_price",
+    "db_description": "db_description", "diff_type": "diff_type", "section": "section",
+}
+
+
+def write_diffs(diffs: DataFrame, path: str) -> None:
+    """The differences of each menu as CSV with eight columns; what is missing is empty."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for name, c in DIFF_COLUMNS.items()]
+    write_by_menu(diffs.select("menu_id", *texts), path, "csv")
+
+
+def append(rows: DataFrame, path: str, name: str) -> None:
+    """Append rows to a stored table of SCHEMAS, in one commit: all rows of the call or none."""
+    known = migrate(rows.select(*[c for c in rows.columns if c in SCHEMAS[name].names]), name)
+    known.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[name]]).write.mode("append").parquet(path)
+
+
+def extractions(items: DataFrame) -> DataFrame:
+    """Rows of ``menu_image_extractions`` for parsed items (menu_id, image_file, name, price, description); confidence is 1."""
+    return items.select("menu_id", "image_file", F.col("name").alias("item_name"), F.col("price").alias("item_price"), F.col("description").alias("item_description"), F.lit(1.0).alias("confidence"))
+
+
+def save_venues(old: DataFrame, old_items: DataFrame, venues: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a batch of scraped venues: venues replace those of their id, items are added to what is there.
+
+    Items of a venue scraped again are there twice, as the batch only adds; replace_children() does not.
+    """
+    return upsert(old, venues, ["id"]), old_items.unionByName(items, allowMissingColumns=True)
+
+
+def first_rows(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first rows by a column, for a log."""
+    return rows.orderBy(order).limit(n)
+
+
+def column_names(rows: DataFrame) -> DataFrame:
+    """place and name of each column."""
+    return rows.sparkSession.createDataFrame(list(enumerate(rows.columns)), "place int, name string")

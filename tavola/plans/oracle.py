@@ -237,7 +237,9 @@ UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'second', '', NULL, 'S' || s_nation
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query; the column ``at``, a reserved word, is quoted here."""
-    return {k: re.sub(r'(?<![."\w])at(?!["\w])', '"at"', sql) for k, sql in _queries().items()}
+    from tavola.plans import oracle_files
+
+    return {k: re.sub(r'(?<![."\w])at(?!["\w])', '"at"', sql) for k, sql in {**_queries(), **oracle_files.queries()}.items()}
 
 
 def _queries() -> dict[str, str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tavola.config import Settings
 from tavola.functions import geo, prices, similarity, text, urls
 from tavola.operators import classify, menu, resolve, spatial, tables
-from tavola.plans import kpi
+from tavola.plans import files, kpi
 from tavola.plans import tables as t
 from tavola.sources import pages, venues
 
@@ -24,7 +24,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_FOUND)
+    return {**_FOUND, **files.queries()}
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
