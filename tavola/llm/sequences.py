@@ -7,6 +7,7 @@ only its tasks.  A window leaves at most a few sequences partly filled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,12 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
+def _fixed(data: bytes, rows: int, width: int) -> pa.Array:
+    """A binary column of ``rows`` values of ``width`` bytes each, end to end in ``data``, which is not copied."""
+    offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, window_ids: int = WINDOW_IDS, pad_id: int = END_ID) -> DataFrame:
     """Rows of a packed id matrix with their segments.
 
@@ -87,7 +94,8 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end, width = shared_tokenizer(path), END_ID.to_bytes(4, "little"), 4 * capacity
-        ramp = np.arange(capacity, dtype="<u4")
+        ramp = memoryview(np.arange(capacity, dtype="<u4").tobytes())
+        pad, zeros = memoryview(pad_id.to_bytes(4, "little") * capacity), memoryview(bytes(width))
         made, base = 0, TaskContext.get().partitionId() << 40
         window: list[tuple[int, int, int, bytes]] = []
         held = 0
@@ -96,18 +104,21 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
             nonlocal made
             packed = best_fit([len(x[3]) // 4 for x in window], capacity)
             for at in range(0, len(packed), 512):
-                rows: list[list] = [[] for _ in _ARROW]
-                for items in packed[at : at + 512]:
+                some = packed[at : at + 512]
+                rows: list[list] = [[] for _ in range(6)]
+                ids, positions = [], []
+                for items in some:
                     parts = [window[i] for i in items]
-                    sizes = [len(p[3]) // 4 for p in parts]
-                    bounds = [0, *np.cumsum(sizes).tolist()]
-                    pad = capacity - bounds[-1]
-                    ids = b"".join([*(p[3] for p in parts), pad_id.to_bytes(4, "little") * pad])
-                    positions = b"".join([*(ramp[:n].tobytes() for n in sizes), bytes(4 * pad)])
-                    for to, x in zip(rows, (base + made, bounds[-1], [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], bounds, ids, positions)):
+                    sizes = [len(p[3]) for p in parts]
+                    bounds = [0, *accumulate(n // 4 for n in sizes)]
+                    free = width - 4 * bounds[-1]
+                    ids += [*(p[3] for p in parts), pad[:free]]
+                    positions += [*(ramp[:n] for n in sizes), zeros[:free]]
+                    for to, x in zip(rows, (base + made, bounds[-1], [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts], bounds)):
                         to.append(x)
                     made += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, _ARROW)], schema=_ARROW)
+                arrays = [pa.array(x, f.type) for x, f in zip(rows, _ARROW)] + [_fixed(b"".join(x), len(some), width) for x in (ids, positions)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
             window.clear()
 
         for batch in batches:

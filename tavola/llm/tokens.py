@@ -60,7 +60,7 @@ class WordTokenizer:
     KEPT_CHARS characters stay); a full cache forgets rare words.
     """
 
-    def __init__(self, path: str | None = None, cache_entries: int = 500_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
@@ -156,14 +156,15 @@ class WordTokenizer:
             (as_is if low is None else new).update(words)
         if len(cache) + 2 * (len(new) + len(as_is)) > self._limit:
             self._forget()
-        if missing := new.difference(cache):
-            self._learn(list(missing), True)
-        if missing := as_is.difference(cache):
-            self._learn(list(missing), False)
+        long: list[str] = []
+        for words_, lowered in ((new, True), (as_is, False)):
+            if missing := list(words_.difference(cache)):
+                self._learn(missing, lowered)
+                long += [w for w in missing if len(w) > KEPT_CHARS]
         for text, words in zip(texts, split):
             yield self.whole(text) if words is None else b"".join(map(cache.__getitem__, words))
-        for w in {w for w in new | as_is if len(w) > KEPT_CHARS}:
-            del cache[w]
+        for w in long:
+            cache.pop(w, None)
 
 
 @lru_cache(2)
