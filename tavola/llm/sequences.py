@@ -21,6 +21,8 @@ from .tokens import default_tokenizer_path, shared_tokenizer
 
 #: Ids that a task gathers before it packs them: 16 MB.
 WINDOW_IDS = 4 << 20
+#: Words that a worker keeps: more than elsewhere, as nothing else stays in its memory.
+CACHE_ENTRIES = 800_000
 
 SCHEMA = "sequence_id long, n_ids int, doc_ids array<long>, pieces array<int>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 _ARROW = pa.schema([("sequence_id", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("position_ids", pa.binary())])
@@ -93,7 +95,7 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str | None = None, capacit
     path = tokenizer_path or default_tokenizer_path()
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end, width = shared_tokenizer(path), END_ID.to_bytes(4, "little"), 4 * capacity
+        tokenizer, end, width = shared_tokenizer(path, CACHE_ENTRIES), END_ID.to_bytes(4, "little"), 4 * capacity
         ramp = memoryview(np.arange(capacity, dtype="<u4").tobytes())
         pad, zeros = memoryview(pad_id.to_bytes(4, "little") * capacity), memoryview(bytes(width))
         made, base = 0, TaskContext.get().partitionId() << 40

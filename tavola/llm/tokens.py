@@ -60,7 +60,7 @@ class WordTokenizer:
     KEPT_CHARS characters stay); a full cache forgets rare words.
     """
 
-    def __init__(self, path: str | None = None, cache_entries: int = 800_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
@@ -168,6 +168,6 @@ class WordTokenizer:
 
 
 @lru_cache(2)
-def shared_tokenizer(path: str) -> WordTokenizer:
+def shared_tokenizer(path: str, cache_entries: int = 500_000) -> WordTokenizer:
     """One tokenizer for all tasks of a Python worker, so that they share its cache."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, cache_entries)
