@@ -211,15 +211,15 @@ def _bits(x: int, n: int) -> list[float]:
 def reliabilities(counts: dict[int, int], kind: str, rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray, np.ndarray, dict[int, float]]:
     """Share of true spans, each labeler's hits and false alarms, and each vote pattern's posterior, for one kind.
 
-    Two classes, labelers independent given the class.  The share taken before the data weighs as much as the data,
-    the labelers' first figures a quarter as much; that holds the classes in their places.
+    Two classes, labelers independent given the class.  What is taken before the data weighs as much as the data, which
+    holds the classes in their places, also where all candidates have one pattern.
     """
     patterns = sorted(counts)
     votes = np.array([_bits(p, len(VOTES)) for p in patterns]).reshape(-1, len(VOTES))
     n = np.array([counts[p] for p in patterns], float)
     first_hit, first_false = (np.array(x.get(kind, x[""])) for x in (FIRST_HITS, FIRST_FALSE))
     share, hit, false = FIRST_SHARE[kind], first_hit, first_false
-    belief, trust = max(20.0, float(n.sum())), max(20.0, float(n.sum()) / 4)
+    belief = max(20.0, float(n.sum()))
     post = np.zeros(len(patterns))
     for _ in range(rounds):
         yes = share * np.prod(np.where(votes > 0, hit, 1 - hit), axis=1)
@@ -227,8 +227,8 @@ def reliabilities(counts: dict[int, int], kind: str, rounds: int = EM_ROUNDS) ->
         post = yes / (yes + no)
         true, other = n * post, n * (1 - post)
         share = (true.sum() + belief * FIRST_SHARE[kind]) / (n.sum() + belief)
-        hit = (true @ votes + trust * share * first_hit) / (true.sum() + trust * share)
-        false = (other @ votes + trust * (1 - share) * first_false) / (other.sum() + trust * (1 - share))
+        hit = (true @ votes + belief * share * first_hit) / (true.sum() + belief * share)
+        false = (other @ votes + belief * (1 - share) * first_false) / (other.sum() + belief * (1 - share))
     return float(share), hit, false, dict(zip(patterns, post.tolist()))
 
 

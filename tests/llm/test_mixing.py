@@ -106,5 +106,13 @@ def test_mix(spark):
     assert sum(rs[0].target for rs in by.values()) == pytest.approx(1.5 * sum(r.size for r in got))
 
 
+def test_very_long_texts(spark):
+    rows = [(0, "w " * 300_000, "a"), (1, "w" * 400_000, "a"), (2, "w " * 100_000, "a")] + [(10 + i, "x y", "b") for i in range(50)]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[i].size for i in range(3)] == [300_000, 1, 100_000] and all(r.taken <= 2 * r.size for r in got.values())
+    # Target 599,951: each once, and of the rest of 199,950 words 100,001 are nearer than 300,000.
+    assert got[0].target == pytest.approx(599_951.5) and sum(got[i].taken for i in range(3)) == 500_002
+
+
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], ROWS)).collect() == []

@@ -134,6 +134,15 @@ def test_planted_spans_of_held_out_documents(spark):
         assert max(abs(hits - pii.FIRST_HITS.get(kind, pii.FIRST_HITS[""]))) > 0.02 and all(hits + 1e-9 >= false - 0.2)
 
 
+def test_one_vote_pattern_is_enough(spark):
+    """Where all candidates of a kind look alike there is nothing to compare them with, and what is taken of the labelers decides."""
+    rng = random.Random(12)
+    docs = [(i, f'words and token = "{rng.randbytes(20).hex()}" end') for i in range(160)] + [(500 + i, "Quite Different words follow") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.accepted] for r in pii.find_pii(df).collect()}
+    assert all(got[i] == (["secret"] if i < 500 else []) for i in got)
+
+
 def test_names_after_capitalised_words(spark):
     texts = ["Yesterday Maria García called", "My name is José García and", "Dear Mr Miller, hello", "Quite Different words"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
