@@ -74,6 +74,22 @@ def test_run(spark, docs, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_run_on_odd_rows(spark, docs, tmp_path):
+    """Null and reused doc_ids, null and very long texts, nulls in all other columns: each clean text comes through once or as the mix takes it."""
+    rng = random.Random(13)
+    long = " ".join("".join(rng.choices(["onth", "ander", "ingle", "thewh"], k=rng.randint(1, 3))) for _ in range(40_000))
+    odd = [(None, "onth ander ingle thewh " * 30, "en", "s1", None), (None, None, None, None, None), (None, "ander thewh onth " * 25, None, None, None), (7, "ingle onth thewhander " * 40, "en", "s2", 1), (900, long, "en", "s3", 5)]
+    rows = docs.unionByName(spark.createDataFrame(odd, ROWS))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = rows
+    for name, stage in pipeline.STAGES[:3]:
+        kept = materialize(stage(spark, kept, ""), f"odd-{name}")
+    texts = {r.text for r in kept.collect()}
+    assert {odd[0][1], odd[2][1], odd[3][1], odd[4][1]} <= texts and None not in texts
+    packed = pipeline.run(spark, str(tmp_path)).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in packed) <= 2048
+
+
 def test_run_on_an_empty_table(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []
