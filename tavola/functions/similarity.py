@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,6 +88,161 @@ def name_score_of(a: str, b: str, shortcut: float = 0.70) -> float:
     return max(best, token_set(a, b) / 100)
 
 
+def _lcs_of(text: str, number: dict[str, int], letters: np.ndarray) -> np.ndarray:
+    """lcs_length() of a text of at most 64 characters with each column of ``letters``; 0 is no character, ``number`` has the others'."""
+    if not text:
+        return np.zeros(letters.shape[1], np.int64)
+    at = np.zeros(len(number) + 1, np.uint64)
+    for c, bits in _places(text).items():
+        if c in number:
+            at[number[c]] = bits
+    full = np.uint64((1 << len(text)) - 1)
+    row = np.full(letters.shape[1], full)
+    hit, rest = np.empty_like(row), np.empty_like(row)
+    for line in letters:
+        np.take(at, line, out=hit, mode="clip")
+        np.bitwise_and(hit, row, out=hit)
+        np.subtract(row, hit, out=rest)
+        np.add(row, hit, out=row)
+        np.bitwise_or(row, rest, out=row)
+    return len(text) - np.bitwise_count(row & full).astype(np.int64)
+
+
+class Names:
+    """Distinct names as arrays, for name_score_of() of one name and many.
+
+    Names of more than 64 characters or with odd blanks are ``odd``: they are compared one by one.
+    """
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.odd = np.array([self.is_odd(x) for x in names], bool)
+        regular = ["" if odd else x for x, odd in zip(names, self.odd)]
+        tokens = [_tokens(x) for x in regular]
+        self.sets = [sorted(x[1]) for x in tokens]
+        self.n = np.array([len(x) for x in names], np.int64)
+        self.n_set = np.array([len(" ".join(x)) for x in self.sets], np.int64)
+        self.repeats = np.array([not x[2] for x in tokens], bool)
+        width = max(1, *map(len, regular)) if regular else 1
+        texts = (regular, [x[0] for x in tokens], [" ".join(x) for x in self.sets])
+        plain, ordered, sets = (np.frombuffer("".join(x.ljust(width, "\0") for x in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width) for some in texts)
+        letters = np.unique(np.concatenate([[0], plain.ravel()]))
+        self.number = {chr(c): i for i, c in enumerate(letters.tolist()) if c}
+        self.plain, self.ordered, self.set = (np.ascontiguousarray(np.searchsorted(letters, x).T.astype(np.intp)) for x in (plain, ordered, sets))
+        self.blank = self.set == self.number.get(" ", -1)
+        self.word = (np.cumsum(self.blank, axis=0) - self.blank).astype(np.int64)  # of each letter; a blank's is that before it
+        self.n_words = np.array([len(x) for x in self.sets], np.int64)
+        self.low, self.high, self.over = self._bits(plain)
+        self.postings: dict[str, tuple[list[int], list[int]]] = {}
+        for i, words_ in enumerate(self.sets):
+            for k, w in enumerate(words_):
+                rows, places = self.postings.setdefault(w, ([], []))
+                rows.append(i)
+                places.append(k)
+        self.postings = {w: (np.array(rows), np.array(places)) for w, (rows, places) in self.postings.items()}
+
+    @staticmethod
+    def is_odd(name: str) -> bool:
+        return len(name) > 64 or len(_tokens(name)[0]) != len(name) or "\0" in name
+
+    @staticmethod
+    def _bits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Letters as letter_bits() counts them."""
+        row, at = np.nonzero(codes)
+        counts = np.bincount(row * 32 + codes[row, at] % 32, minlength=len(codes) * 32).reshape(-1, 32)
+        unary = (np.uint64(1) << np.minimum(counts, 4).astype(np.uint64)) - np.uint64(1)
+        unary <<= 4 * (np.arange(32, dtype=np.uint64) % np.uint64(16))
+        return unary[:, :16].sum(1, dtype=np.uint64), unary[:, 16:].sum(1, dtype=np.uint64), np.maximum(counts - 4, 0).sum(1)
+
+    def letters(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(x[rows] for x in (self.low, self.high, self.over, self.n_set, self.odd))
+
+    def probe(self, name: str) -> Probe:
+        return Probe(name, self)
+
+
+class Probe:
+    """One name, to be compared with many."""
+
+    def __init__(self, name: str, names: Names):
+        self.name, self.all = name, names
+        self.odd = names.is_odd(name)
+        self.ordered, distinct, once = _tokens(name)
+        self.words, self.repeats = sorted(distinct), not once
+        self.n_set = len(" ".join(self.words))
+        # Shared words: as bits of this name's and of the other's, and the length of what they make.
+        self.own, self.other, self.length = (np.zeros(len(names.names), np.int64) for _ in range(3))
+        for k, w in enumerate([] if self.odd else self.words):  # 32 at most
+            if w in names.postings:
+                rows, places = names.postings[w]
+                self.own[rows] |= 1 << k
+                self.other[rows] |= 1 << places
+                self.length[rows] += len(w) + 1
+
+    def bounds(self, rows: np.ndarray, letters: tuple[np.ndarray, ...]) -> np.ndarray:
+        """What the score can be at most, by letters, and by shared words where there are some."""
+        if self.odd:
+            return np.ones(len(rows))
+        low, high, over, n, odd = letters
+        codes = np.frombuffer(self.name.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(1, -1)
+        (own_low,), (own_high,), (own_over,) = Names._bits(codes)
+        common = np.bitwise_count(low & own_low).astype(np.int64) + np.bitwise_count(high & own_high) + np.minimum(over, own_over)
+        bound = np.minimum(1.0, 2.0 * common / np.maximum(n + self.n_set, 1))
+        shared = np.flatnonzero(self.own[rows])
+        if len(shared):
+            at = rows[shared]
+            length = self.length[at] - 1
+            sets = 2.0 * length / (length + np.minimum(self.all.n_set[at], self.n_set))
+            k = np.bitwise_count(self.own[at])
+            sets[(k == len(self.words)) | (k == self.all.n_words[at])] = 1.0
+            bound[shared] = np.maximum(bound[shared], sets)
+        bound[odd] = 1.0
+        return bound
+
+    def scores(self, rows: np.ndarray, shortcut: float = 0.70) -> np.ndarray:
+        """name_score_of() with the names at ``rows``."""
+        a, names = self.name, self.all
+        out = np.zeros(len(rows))
+        odd = np.ones(len(rows), bool) if self.odd else names.odd[rows]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = name_score_of(a, names.names[rows[i]], shortcut)
+        even = np.flatnonzero(~odd & (names.n[rows] > 0)) if a else out[:0]
+        if not len(even):
+            return out
+        at = rows[even]
+        n = names.n[at]
+        top = int(n.max())
+        plain = 200.0 * _lcs_of(a, names.number, names.plain[:top, at]) / (n + len(a))
+        ordered = 200.0 * _lcs_of(self.ordered, names.number, names.ordered[:top, at]) / (n + len(a))
+        best = np.maximum(plain, ordered) / 100
+        # Without a shared or a repeated word the sets' ratio is the sorted one.
+        some = np.flatnonzero((best < shortcut) & ((self.own[at] != 0) | names.repeats[at] | self.repeats))
+        if len(some):
+            best[some] = np.maximum(best[some], self._sets(at[some], top) / 100)
+        out[even] = best
+        return out
+
+    def _sets(self, at: np.ndarray, top: int) -> np.ndarray:
+        """token_set(): the shared words come first on both sides, so they are common as a whole."""
+        names = self.all
+        rest = (1 << names.n_words[at]) - 1 & ~self.other[at]
+        last = np.frexp(rest.astype(np.float64))[1] - 1
+        word, blank = names.word[:top, at], names.blank[:top, at]
+        kept = (rest[None, :] >> word & 1).astype(bool) & ~(blank & (word >= last[None, :]))
+        letters = np.where(kept, names.set[:top, at], 0)
+        lcs = np.zeros(len(at), np.int64)
+        masks, which = np.unique(self.own[at], return_inverse=True)
+        for i, mask in enumerate(masks.tolist()):
+            own = " ".join(w for k, w in enumerate(self.words) if not mask >> k & 1)
+            of = np.flatnonzero(which == i)
+            lcs[of] = _lcs_of(own, names.number, letters[:, of])
+        n, length = names.n_set[at], np.maximum(self.length[at] - 1, 0)
+        whole = 200.0 * (self.length[at] + lcs) / (n + self.n_set)
+        got = np.maximum(whole, np.maximum(200.0 * length / (length + self.n_set), 200.0 * length / (length + n)))
+        k = np.bitwise_count(self.own[at])
+        return np.where((k == len(self.words)) | (k == names.n_words[at]), 100.0, got)
+
+
 def _vectorised(of):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:

@@ -11,7 +11,8 @@ from tavola.config import Settings
 from tavola.functions.geo import geo_score
 from tavola.functions.similarity import address_score, address_tokens, letter_bits, name_bound, name_score, total_score
 from tavola.functions.text import clean_name, filled, words
-from tavola.operators.spatial import band_join, join_cell, unlocated_pairs
+from tavola.operators import nearest
+from tavola.operators.spatial import cell_rank, join_cell, unlocated_pairs
 
 #: Left rows of one cell that meet one copy of its right rows, about; and the most copies.
 CELL_ROWS, MAX_SALTS = 20_000, 256
@@ -54,33 +55,35 @@ def scored(pairs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def salts_for(left: DataFrame, settings: Settings, rows: int = CELL_ROWS) -> int:
-    """How many parts the most common cell of the left side is cut into, so that none has more than about ``rows`` rows."""
-    cells = left.groupBy(join_cell(F.col("lat"), settings).alias("i"), join_cell(F.col("lon"), settings).alias("j")).count()
+    """How many parts the most common cell of the prepared() left side is cut into, so that none has more than about ``rows`` rows."""
+    cells = left.groupBy(join_cell(F.col("l_lat"), settings).alias("i"), join_cell(F.col("l_lon"), settings).alias("j")).count()
     most = cells.where("i IS NOT NULL AND j IS NOT NULL").agg(F.max("count")).first()[0] or 0
     return max(1, min(MAX_SALTS, -(-int(most) // rows)))
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, settings: Settings, salts: int = 1) -> DataFrame:
-    """Pairs that can reach the threshold, of prepared() sides.
+def unlocated_candidates(left: DataFrame, right: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of left venues without coordinates that can reach the threshold, of prepared() sides, with cell_rank.
 
-    A left venue without coordinates has no geo score.  If the threshold is above what a name and a weak
-    address boost give, only pairs with a strong address can match; these share a number and a street word,
-    so they come from an equi-join instead of all right venues.
+    Such a venue has no geo score.  If the threshold is above what a name and a weak address boost give, only pairs with a
+    strong address can match; these share a number and a street word, so they come from an equi-join instead of all right venues.
     """
-    near = band_join(left, right, settings, salts)
-    if settings.match_threshold > settings.weight_name + settings.weak_boost:
-        lost = left.where("l_lat IS NULL OR l_lon IS NULL").withColumn("cell_rank", F.lit(0))
+    if settings.match_threshold <= settings.weight_name + settings.weak_boost:
+        return unlocated_pairs(left, right)
+    lost = left.where("l_lat IS NULL OR l_lon IS NULL").withColumn("cell_rank", F.lit(0))
 
-        def keyed(df: DataFrame, side: str) -> DataFrame:
-            by_number = df.withColumn("_number", F.explode(f"{side}_tokens.numbers"))
-            return by_number.withColumn("_street", F.explode(f"{side}_tokens.streets"))
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        by_number = df.withColumn("_number", F.explode(f"{side}_tokens.numbers"))
+        return by_number.withColumn("_street", F.explode(f"{side}_tokens.streets"))
 
-        found = keyed(lost, "l").select("l_id", "_number", "_street").join(keyed(right, "r").select("r_id", "_number", "_street"), ["_number", "_street"])
-        found = found.select("l_id", "r_id").distinct()
-        far = lost.join(found, "l_id").join(right, "r_id").select(near.columns)
-    else:
-        far = unlocated_pairs(left, right).select(near.columns)
-    return near.unionByName(far)
+    found = keyed(lost, "l").select("l_id", "_number", "_street").join(keyed(right, "r").select("r_id", "_number", "_street"), ["_number", "_street"])
+    found = found.select("l_id", "r_id").distinct()
+    return lost.join(found, "l_id").join(right, "r_id")
+
+
+def band_scores(left: DataFrame, right: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """l_id, r_id, name_score and score of every pair of prepared() sides in the band."""
+    s = settings or Settings()
+    return nearest.all_pairs(left, right, s, salts_for(left, s), nearest.parts_for(right, s))
 
 
 def best_matches(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -116,16 +119,16 @@ def resolve(left: DataFrame, right: DataFrame, settings: Settings | None = None,
     """Match venues (id, ordinal, name, address, lat, lon) of two sources.
 
     ``old`` matches are checked first.  Names are compared only in pairs whose places, addresses and letters let them
-    reach the threshold.  ``salts`` spreads common cells; without it the cells' counts choose.  Statistics are of best
+    be the best.  ``salts`` spreads common cells; without it the cells' counts choose.  Statistics are of best
     matches, before they are made one to one.
     """
     s = settings or Settings()
     a, b = prepared(left, "l"), prepared(right, "r")
     kept, todo = recheck(a, b, old, s) if old is not None else (None, a)
-    pairs = able(candidate_pairs(todo, b, s, salts or salts_for(left, s)), s)
-    # Pairs are dealt by left venue before they are scored: ranking needs that anyway, and it evens out dense cells.
-    kept_columns = [c for c in pairs.columns if c[2:] not in ("words", "letters")]
-    best = best_matches(scored(placed(pairs.select(kept_columns).repartition("l_id"), s), s), s.match_threshold)
+    near = nearest.best_pairs(todo, b, s, salts or salts_for(a, s), nearest.parts_for(b, s)).withColumn("cell_rank", cell_rank(s))
+    # What has no place is dealt by left venue before it is scored: ranking needs that anyway, and it evens out common addresses.
+    far = able(unlocated_candidates(todo, b, s), s).select(near.columns).repartition("l_id")
+    best = best_matches(scored(placed(near.unionByName(far), s), s), s.match_threshold)
     if kept is not None:
         best = kept.select(best.columns).unionByName(best)
     matches = one_to_one(best)

@@ -325,7 +325,7 @@ def address_sim(spark, d):
 @query
 def total_score(spark, d):
     left, right = _sides(spark, d)
-    return _rounded(resolve.scored(resolve.placed(resolve.candidate_pairs(left, right, SETTINGS), SETTINGS), SETTINGS).where(F.col("l_lat").isNotNull()).select("l_id", "r_id", "name_score", "score"), "name_score", "score")
+    return _rounded(resolve.band_scores(left, right, SETTINGS), "name_score", "score")
 
 
 def _resolved(spark: SparkSession, d: str, old: DataFrame | None = None) -> resolve.Resolution:
