@@ -74,6 +74,17 @@ def test_copies_pass_on_one_pair_each(sides):
     assert len(got) == 40 and {r.r_id for r in got} == {"r150"}
 
 
+def test_recheck(spark, sides, plain):
+    old = [(f"l{k}", f"r{k + 1}") for k in range(150)]
+    found = resolve.resolve(*sides, old=spark.createDataFrame(old, "l_id string, r_id string"))
+    got = {r.l_id: (r.r_id, r.score) for r in found.best.collect()}
+    best = _best(plain)
+    for k, (r, s) in got.items():
+        if (k, r) not in old:
+            assert s == pytest.approx(best[k], abs=1e-9)
+    assert best.keys() <= got.keys()
+
+
 def test_names():
     rng = random.Random(4)
     names = sorted({" ".join(rng.choices([*WORDS, "ouwhea", "é"], k=rng.randint(0, 5))) for _ in range(300)} | {"a" * 70, "of  in", "of in"})
