@@ -74,6 +74,11 @@ def test_copies_pass_on_one_pair_each(sides):
     assert len(got) == 40 and {r.r_id for r in got} == {"r150"}
 
 
+def test_stats(sides, plain):
+    got, best = resolve.resolve(*sides).stats.first(), list(_best(plain).values())
+    assert (got.n, got.min_score, got.max_score, got.avg_score) == pytest.approx((len(best), min(best), max(best), sum(best) / len(best)))
+
+
 def test_recheck(spark, sides, plain):
     old = [(f"l{k}", f"r{k + 1}") for k in range(150)]
     found = resolve.resolve(*sides, old=spark.createDataFrame(old, "l_id string, r_id string"))
