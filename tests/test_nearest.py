@@ -79,6 +79,16 @@ def test_stats(sides, plain):
     assert (got.n, got.min_score, got.max_score, got.avg_score) == pytest.approx((len(best), min(best), max(best), sum(best) / len(best)))
 
 
+def test_one_to_one_and_unmatched(sides, plain):
+    found = resolve.resolve(*sides)
+    best, matches = found.best.collect(), found.matches.collect()
+    top = {}
+    for r in sorted(best, key=lambda r: (-r.score, r.l_ordinal)):
+        top.setdefault(r.r_id, r.l_id)
+    assert {r.r_id: r.l_id for r in matches} == top
+    assert {r.l_id for r in found.unmatched.collect()} == {f"l{k}" for k in range(160)} - set(top.values())
+
+
 def test_recheck(spark, sides, plain):
     old = [(f"l{k}", f"r{k + 1}") for k in range(150)]
     found = resolve.resolve(*sides, old=spark.createDataFrame(old, "l_id string, r_id string"))
