@@ -60,6 +60,15 @@ def _best(plain):
     return best
 
 
+@pytest.mark.parametrize("salts, parts", [(1, 1), (3, 4)])
+def test_all_pairs(sides, plain, salts, parts):
+    left, right = resolve.prepared(sides[0], "l"), resolve.prepared(sides[1], "r")
+    got = {(r.l_id, r.r_id): (r.name_score, r.score) for r in nearest.all_pairs(left, right, S, salts, parts).collect()}
+    want = {k: v for k, v in plain.items() if int(k[0][1:]) % 17 or int(k[0][1:]) >= 120}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_best(sides, plain):
     got = {r.l_id: (r.r_id, r.score) for r in resolve.resolve(*sides).best.collect()}
     best = _best(plain)
