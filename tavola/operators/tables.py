@@ -6,8 +6,9 @@ Each change returns the whole new table; write it to a new path, then swap.  Spa
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,12 +111,35 @@ def stable_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataF
     return rows.withColumn(name, F.shiftrightunsigned(F.xxhash64(*order), 1))
 
 
-def write_json_array(rows: DataFrame, path: str, limit: int = 1_000_000) -> None:
-    """One indented JSON array, for exports of bounded size; larger tables are refused, use write.json()."""
-    got = [r[0] for r in rows.limit(limit + 1).select(F.to_json(F.struct(*rows.columns))).collect()]
-    if len(got) > limit:
-        raise ValueError(f"more than {limit} rows")
-    write_text(rows.sparkSession, path, json.dumps([json.loads(x) for x in got], indent=4, ensure_ascii=False))
+def write_json_array(rows: DataFrame, path: str, limit: int = 1_000_000, part: int = 100_000) -> None:
+    """One indented JSON array; more than ``limit`` rows become a folder of such arrays, each of at most ``part`` rows.
+
+    Both are read by ``spark.read.json(path, multiLine=True)``.  A folder is written by the tasks, so neither the driver
+    nor a reading task holds more than one array of bounded rows.
+    """
+    texts = rows.select(F.to_json(F.struct(*rows.columns)).alias("text"))
+    if rows.limit(limit + 1).count() > limit:
+        indented = texts.mapInArrow(lambda batches: _arrays(batches, part), "value string")
+        indented.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+        return
+    write_text(rows.sparkSession, path, next(_indented([r[0] for r in texts.collect()], max(1, limit)), "[]"))
+
+
+def _indented(texts: list[str], part: int) -> Iterator[str]:
+    for at in range(0, len(texts), part):
+        yield json.dumps([json.loads(x) for x in texts[at : at + part]], indent=4, ensure_ascii=False)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+    """One row for each array of at most ``part`` of a task's rows."""
+    held: list[str] = []
+    for batch in batches:
+        held.extend(batch.column(0).to_pylist())
+        while len(held) >= part:
+            yield pa.RecordBatch.from_arrays([pa.array(_indented(held[:part], part), pa.string())], ["value"])
+            held = held[part:]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(_indented(held, part), pa.string())], ["value"])
 
 
 def write_unmatched(ids: DataFrame, path: str, limit: int = 1_000_000) -> None:
