@@ -93,17 +93,27 @@ def save_matches(old: DataFrame, new: DataFrame, strict_stale: bool = False) ->
     return old
 
 
-def chunks(rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """Rows with ``part``: key-sorted chunks of ceil(n / parts) rows.
+#: Ranges of keys that chunks() numbers one by one, about; and the keys that their bounds are chosen from.
+RANGES, DRAWN = 64, 4000
 
-    Row numbers come from counts of key ranges, so no task sorts all rows.
+
+def chunks(rows: DataFrame, key: str, parts: int, ties: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``part``: key-sorted chunks of ceil(n / parts) rows, null keys first, equal keys by the columns ``ties``.
+
+    Row numbers come from counts of key ranges, so no task sorts all rows.  The ranges' bounds are fixed values drawn from
+    the keys: ranges that Spark chooses itself may differ between the count and the rows.
     """
     n = rows.count()
     size = max(1, -(-n // parts))
-    ranged = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(2**33 - 1))
-    counts = ranged.groupBy("_pid").count()
-    starts = counts.select("_pid", F.coalesce(F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a partition
-    return ranged.join(starts, "_pid").withColumn("part", F.floor((F.col("_start") + F.col("_at")) / size).cast("int")).drop("_pid", "_at", "_start")
+    drawn = rows.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(max(1, n // DRAWN))) == 0)).select(key).distinct()
+    found = [r[0] for r in drawn.orderBy(key).limit(10 * DRAWN).collect()]
+    bounds = found[:: max(1, len(found) // RANGES)]
+    at = sum([(F.col(key) >= F.lit(b)).cast("int") for b in bounds], F.lit(0))
+    ranged = rows.withColumn("_range", F.coalesce(at, F.lit(0)))
+    starts = ranged.groupBy("_range").count()
+    starts = starts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a range
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties)) - 1).join(starts, "_range")
+    return placed.withColumn("part", F.floor((F.col("_start") + F.col("_at")) / size).cast("int")).drop("_range", "_at", "_start")
 
 
 def stable_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:

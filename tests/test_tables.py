@@ -2,11 +2,40 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tavola.operators import tables
 
 
+def test_chunks_of_many_partitions(spark):
+    """Wide rows beside narrow counts: the ranges must be the same for both."""
+    rows = spark.range(0, 60_000, 1, 12).select(F.pmod(F.col("id") * 7919, F.lit(60_000)).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    rows = rows.select("k", F.repeat("wide", 4).alias("wide"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        got = tables.chunks(rows, "k", 3).select("k", "part").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.k, r.part) for r in got) == [(k, k // 20_000) for k in range(60_000)]
+
+
+@pytest.mark.parametrize("keys", [[], [None, "b", "a", "c", None, "é"], ["x"] * 7])
+def test_chunks_of_odd_keys(spark, keys):
+    got = tables.chunks(spark.createDataFrame([(k,) for k in keys], "k string"), "k", 3).collect()
+    size = max(1, -(-len(keys) // 3))
+    assert sorted((r.part, r.k or "") for r in got) == [(i // size, k) for i, k in enumerate(sorted(k or "" for k in keys))]
+
+
+def test_chunks_of_equal_keys(spark):
+    got = tables.chunks(spark.range(30).select(F.lit(1).alias("k"), "id"), "k", 3, ties=("id",)).collect()
+    assert sorted((r.id, r.part) for r in got) == [(i, i // 10) for i in range(30)]
+
+
 def test_json_arrays_beyond_one_file(spark, tmp_path):
     rows = spark.range(0, 2_500, 1, 3).select(F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, "é").alias("b"))
     tables.write_json_array(rows, str(tmp_path / "many"), limit=1_000, part=200)
