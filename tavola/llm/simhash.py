@@ -253,13 +253,22 @@ def distinct_documents(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     hash decides.  Rows are told apart by doc_id and text, so null or reused ids lose no component.  Whole
     texts count, however long; texts without words are one component.  No rows give no rows.
     """
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
-    keyed = docs.withColumn("_key", F.unhex(F.sha2(key.cast("binary"), 256)))
+    keyed = keyed_rows(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first_doc")
     labelled = _labelled(fingerprints(keyed, scheme, "_key").groupBy(*scheme.names).agg(first), scheme)
-    kept = labelled.groupBy("root").agg(F.min("first_doc").alias("_first")).select(F.col("_first._key").alias("_key"))
-    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*docs.columns)
+    return rows_of(keyed, labelled.groupBy("root").agg(F.min("first_doc").alias("first_doc")), docs.columns)
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key, which tells rows apart by doc_id and text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))
+    return docs.withColumn("_key", F.unhex(F.sha2(key.cast("binary"), 256)))
+
+
+def rows_of(keyed: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """Of the rows of keyed_rows() one of each key in ``kept``'s first_doc."""
+    return keyed.dropDuplicates(["_key"]).join(kept.select(F.col("first_doc._key").alias("_key")), "_key", "left_semi").select(*columns)
 
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:
