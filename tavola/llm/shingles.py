@@ -32,8 +32,8 @@ FIRST, WIDER = 4, 8
 SAMPLE, COMMON, LEAST = 8192, 1 << 16, 4
 #: Rows that a task looks at together (a run of one shingle is never cut), and texts whose sets it holds at once.
 RUN_ROWS, TEXTS = 1 << 16, 250
-#: Bits of a sketch.
-SKETCH = 2048
+#: Bits of a sketch at least; that of a larger set has one to two for each of its shingles.
+SKETCH = 512
 _NODE = ("fp", "fp2")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _NO_SHINGLES = np.empty(0, np.uint64)
@@ -210,16 +210,29 @@ def _next_candidates(batches: Iterator[pa.RecordBatch], over: int, to: int) -> I
 
 
 def _sketch(found: np.ndarray) -> bytes:
-    """Bits of which each is set if it is that of an odd number of shingles: two sets differ in as many shingles as bits, or more."""
-    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).tobytes()
+    """Bits of which each is set if it is that of an odd number of shingles: two sets differ in as many shingles as bits, or more.
+
+    Their number is a power of two and grows with the set, since half the bits of unlike sets differ at most.
+    """
+    bits = max(SKETCH, 1 << len(found).bit_length())
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).tobytes()
+
+
+def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits sketches differ, pair by pair; the longer one is folded, which gives the set's sketch of the shorter length."""
+    sizes, out = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2), np.zeros(len(a), np.int64)
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(1))
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(of[i] for i in at), np.uint64).reshape(len(at), -1, size.min() // 8), 1) for of in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of candidates with their sizes and sketches (n, m, sketch_a, sketch_b, ...) those whose sketches allow a link."""
-    for batch in batches:
+    for batch in _few(batches):
         n = batch.column(0).to_numpy() + batch.column(1).to_numpy()
-        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(n), SKETCH // 64) for c in batch.columns[2:4])
-        differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+        differ = _differing(*(c.to_pylist() for c in batch.columns[2:4]))
         yield batch.select(batch.schema.names[4:]).filter(pa.array((OF + SHARED) * differ <= (OF - SHARED) * n))
 
 
