@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import re
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,20 @@ _paths: list[str] = []
 
 #: Rows that a function gets at once; Spark itself bounds a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
 ARROW_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Modules whose functions share a worker's tokenizers.
+_TOKENIZING = ("tavola.llm.packing", "tavola.llm.sequences")
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,7 +55,8 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
+    with setting(spark, _BATCH, str(ARROW_ROWS)):  # larger batches would be made only to be cut by map_batches()
+        df.write.mode("overwrite").parquet(path, partitionBy=list(partition_by) or None)
     got = spark.read.schema(df.schema).parquet(path)
     got._written = path
     return got
@@ -69,11 +87,29 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
         _paths.remove(path)
 
 
+def _turn_to(module: str) -> None:
+    """A worker that turns to another operator drops its tokenizers and the words they have cached."""
+    tokens = sys.modules.get("tavola.llm.tokens")
+    if tokens and module not in _TOKENIZING:
+        tokens.shared_tokenizer.cache_clear()
+
+
+def _give_back() -> None:
+    """Let go of memory that this worker holds and doesn't use: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches that are bounded in rows as well as in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, b.num_rows, ARROW_ROWS))
+        _turn_to(fn.__module__)
+        try:
+            yield from fn(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, b.num_rows, ARROW_ROWS))
+        finally:
+            _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialize
+from .common import discard, map_batches, materialize, setting
 from .components import component_labels
 from .simhash import HASH_SEED, keyed_rows, rows_of
 
@@ -41,13 +41,8 @@ _NO_SHINGLES = np.empty(0, np.uint64)
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """materialize(); the shuffle files that made the table go with the end of its query."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, None)
-    conf.set(_CLEANUP, "true")
-    try:
+    with setting(df.sparkSession, _CLEANUP, "true"):
         return materialize(df, name)
-    finally:
-        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
 
 
 def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
